@@ -1,2 +1,33 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries of the problems tagged llm, with SQL where it can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratagraph.llm import similar
+from stratagraph.sources.tables import table
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = similar.current_vectors(table(spark, sf_dir, "chunks"), "chunk_id", F.lit("chunks"), "vector", "indexed_at", 64)
+    cache = similar.current_vectors(table(spark, sf_dir, "embed_cache"), "chunk_hash", F.col("model"), "dense", "ts", 64)
+    return chunks.unionByName(cache)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.similar_pairs(similar.neighbours(_vectors(spark, sf_dir)))
+
+
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the index against brute force per space, for every row whose id's hash is divisible by 20, against all rows."""
+    vectors = _vectors(spark, sf_dir)
+    exact = similar.brute_force(vectors, vectors.where(F.pmod(F.xxhash64("id"), F.lit(20)) == 0))
+    got = similar.neighbours(vectors).select("space", "a", "b", F.lit(1).alias("hit"))
+    both = exact.join(got, ["space", "a", "b"], "left")
+    return both.groupBy("space").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_recall": p1_recall}
+
+SQL: dict[str, str] = {}
