@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm import similar
+from stratagraph.llm import handwritten, similar
 from stratagraph.sources.tables import table
 
 
@@ -28,6 +28,15 @@ def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("space").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"), (F.count("hit") / F.count("*")).alias("recall"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_recall": p1_recall}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_reasons(spark, sf_dir).select("project", "node_key")
+
+
+def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p2_found with the reason of each file."""
+    return handwritten.not_handwritten(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "graph_nodes"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_recall": p1_recall, "p2_found": p2_found, "p2_reasons": p2_reasons}
 
 SQL: dict[str, str] = {}
