@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm import handwritten, similar
+from stratagraph.llm import handwritten, similar, splitting
 from stratagraph.sources.tables import table
 
 
@@ -37,6 +37,15 @@ def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "graph_nodes"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_recall": p1_recall, "p2_found": p2_found, "p2_reasons": p2_reasons}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.unavoidable_cuts(table(spark, sf_dir, "chunks"))
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all oversized current texts."""
+    return splitting.pieces(table(spark, sf_dir, "chunks"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p1_found": p1_found, "p1_recall": p1_recall, "p2_found": p2_found, "p2_reasons": p2_reasons}
 
 SQL: dict[str, str] = {}
