@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm import handwritten, leakage, similar, splitting
+from stratagraph.llm import handwritten, leakage, similar, splitting, stuffing
 from stratagraph.sources.tables import table
 
 
@@ -58,6 +58,14 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_report(p8_found(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_passages": p8_passages, "p8_report": p8_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p1_found": p1_found, "p1_recall": p1_recall, "p2_found": p2_found, "p2_reasons": p2_reasons}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.spam_pages(table(spark, sf_dir, "documents"))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.page_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p8_found": p8_found, "p8_passages": p8_passages, "p8_report": p8_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p1_found": p1_found, "p1_recall": p1_recall, "p2_found": p2_found, "p2_reasons": p2_reasons}
 
 SQL: dict[str, str] = {}
