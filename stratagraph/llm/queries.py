@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm import handwritten, leakage, similar, splitting, stuffing
+from stratagraph.llm import handwritten, leakage, percentiles, similar, splitting, stuffing
 from stratagraph.sources.tables import table
 
 
@@ -66,6 +66,46 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.page_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p8_found": p8_found, "p8_passages": p8_passages, "p8_report": p8_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p1_found": p1_found, "p1_recall": p1_recall, "p2_found": p2_found, "p2_reasons": p2_reasons}
+def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.measures(table(spark, sf_dir, "retrieves"), table(spark, sf_dir, "backend_health"))
 
-SQL: dict[str, str] = {}
+
+def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles per metric, backend and day: rank error 0."""
+    return percentiles.percentile_rows(percentiles.daily(_measures(spark, sf_dir)), ["metric", "backend", "day"])
+
+
+def p7_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of months and totals, combined from daily ladders, with the bound of their rank error."""
+    return percentiles.with_months(percentiles.daily(_measures(spark, sf_dir), percentiles.RUNGS))
+
+
+def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles per metric and backend over all days, by the same multi-select."""
+    rows = _measures(spark, sf_dir).select(F.concat_ws("\u0001", "metric", "backend").alias("g"), "x")
+    part = F.split("g", "\u0001")
+    selected = percentiles.multi_select(rows)
+    return percentiles.percentile_rows(selected.select(part[0].alias("metric"), part[1].alias("backend"), *selected.columns), ["metric", "backend"])
+
+
+_P7 = """
+WITH r AS (SELECT ts, total_ms, embed_ms FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, total_ms DESC NULLS LAST, embed_ms DESC NULLS LAST) AS k FROM retrieves WHERE id IS NOT NULL AND ts IS NOT NULL) WHERE k = 1),
+h AS (SELECT ts, backend, latency_ms FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, latency_ms DESC NULLS LAST, backend DESC NULLS LAST) AS k FROM backend_health WHERE id IS NOT NULL AND ts IS NOT NULL) WHERE k = 1),
+a AS (
+  SELECT 'total_ms' AS metric, '' AS backend, ts, total_ms AS x FROM r UNION ALL SELECT 'embed_ms', '', ts, embed_ms FROM r
+  UNION ALL SELECT 'latency_ms', lower(trim(backend)), ts, latency_ms FROM h WHERE backend IS NOT NULL),
+v AS (SELECT metric, backend, strftime(make_timestamp(CAST(floor(ts * 1000000) AS BIGINT)), '%Y-%m-%d') AS day, x FROM a WHERE x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x) AND x >= 0),
+"""
+
+_P7_DAY = _P7 + """
+k AS (SELECT *, row_number() OVER (PARTITION BY metric, backend, day ORDER BY x) AS rank, count(*) OVER (PARTITION BY metric, backend, day) AS n FROM v),
+p AS (SELECT unnest([50, 90, 95, 99]) AS q)
+SELECT metric, backend, day, CAST(q AS DOUBLE) AS percent, x AS value, n FROM k, p WHERE rank = greatest(1, (n * q + 99) // 100)
+"""
+
+QUERIES = {"p7_percentiles": p7_percentiles, "p7_months": p7_months, "p7_totals": p7_totals, "p10_found": p10_found, "p10_scores": p10_scores, "p8_found": p8_found, "p8_passages": p8_passages, "p8_report": p8_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p1_found": p1_found, "p1_recall": p1_recall, "p2_found": p2_found, "p2_reasons": p2_reasons}
+
+SQL: dict[str, str] = {
+    "p7_percentiles": _P7_DAY,
+    "p7_totals": _P7_DAY.replace("metric, backend, day", "metric, backend"),
+}
