@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm import handwritten, leakage, percentiles, similar, splitting, stuffing
+from stratagraph.llm import handwritten, leakage, mixing, percentiles, similar, splitting, stuffing
 from stratagraph.sources.tables import table
 
 
@@ -103,7 +103,16 @@ p AS (SELECT unnest([50, 90, 95, 99]) AS q)
 SELECT metric, backend, day, CAST(q AS DOUBLE) AS percent, x AS value, n FROM k, p WHERE rank = greatest(1, (n * q + 99) // 100)
 """
 
-QUERIES = {"p7_percentiles": p7_percentiles, "p7_months": p7_months, "p7_totals": p7_totals, "p10_found": p10_found, "p10_scores": p10_scores, "p8_found": p8_found, "p8_passages": p8_passages, "p8_report": p8_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p1_found": p1_found, "p1_recall": p1_recall, "p2_found": p2_found, "p2_reasons": p2_reasons}
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document that takes part."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+
+
+QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p7_percentiles": p7_percentiles, "p7_months": p7_months, "p7_totals": p7_totals, "p10_found": p10_found, "p10_scores": p10_scores, "p8_found": p8_found, "p8_passages": p8_passages, "p8_report": p8_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p1_found": p1_found, "p1_recall": p1_recall, "p2_found": p2_found, "p2_reasons": p2_reasons}
 
 SQL: dict[str, str] = {
     "p7_percentiles": _P7_DAY,
