@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratagraph.functions.text import chunk_id
+from stratagraph.runtime import numbered
 
 #: What marks generated files and paths, and the limits beyond which a file looks minified (fixed values).
 GENERATED_MARKERS = ("@generated", "auto-generated", "autogenerated", "code generated by", "do not edit", "this file was generated", "generated by openapi", "generated by swagger", "generated by ng-openapi-gen", "generated by openapi-generator")
@@ -77,7 +78,7 @@ def reingest_paths(changed: DataFrame, dirty: DataFrame) -> DataFrame:
     """path, position: changed and then dirty paths, each once, in their order (both: path, position)."""
     rows = changed.select("path", F.lit(0).alias("list"), "position").unionByName(dirty.select("path", F.lit(1).alias("list"), "position"))
     first = rows.groupBy("path").agg(F.min(F.struct("list", "position")).alias("at"))
-    return first.select("path", F.row_number().over(W.orderBy("at")).alias("position"))
+    return numbered(first.select("path", "at.list", F.col("at.position").alias("was")), "list", "was").select("path", "position")
 
 
 def sync_action(states: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from stratagraph.functions.text import tokens
 
 #: Constant of reciprocal rank fusion, and how many times k each branch fetches.
 RRF_K, PREFETCH = 60, 4
+#: Rows of a part of the vectors, and of a block of queries, that one task holds.
+PART_ROWS = 50_000
 #: Adjustments of a hit's score (fixed values).
 GENERATED_PENALTY, ENTRYPOINT_BOOST = 0.15, 0.05
 ENTRYPOINTS = ("app.config.ts", "app.routes.ts", "app-routing.module.ts", "main.ts", "main.server.ts", "app.module.ts", "app.component.ts", "index.ts", "providers.ts")
@@ -28,14 +30,22 @@ STOP_WORDS = (
 FILES_PER_WORD = 500
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, parts: int = 16, min_score: float = -2.0) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = -2.0) -> DataFrame:
     """query, id, score, rank: for each query its k nearest vectors by cosine (DOUBLE, rounded to 6; ties by id), itself left out.
 
-    vectors and queries: id LONG, vector. The vectors are split into parts, each is scanned as matrix products against the
-    blocks of queries sent to it, and only k rows of a query leave a part.
+    vectors and queries: id LONG, vector. Vectors are split into parts of about PART_ROWS rows and queries into blocks of as
+    many; each pair of a part and a block is one task of matrix products, from which only k rows of a query come out.
+    Vectors without length, null vectors and an empty side find nothing.
     """
-    v = vectors.select("id", "vector", F.lit(0).cast("byte").alias("role"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
-    q = queries.select("id", "vector", F.lit(1).cast("byte").alias("role"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    parts, blocks = (max(1, -(-df.count() // PART_ROWS)) for df in (vectors, queries))
+
+    def side(df: DataFrame, role: int, own: str, n: int, other: str, m: int) -> DataFrame:
+        spread = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        rows = df.where("vector is not null and id is not null").select("id", "vector", F.lit(role).cast("byte").alias("role"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own))
+        return rows.withColumn(other, spread).select("id", "vector", "role", "part", "block")
+
+    v = side(vectors, 0, "part", parts, "block", blocks)
+    q = side(queries, 1, "block", blocks, "part", parts)
 
     def scan(table: pa.Table) -> pa.Table:
         role, ids = table.column("role").to_numpy(), table.column("id").to_numpy()
@@ -54,7 +64,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, parts: int = 16, min_s
             a.append(ids[some][i]), b.append(ids[rows][order[i, j]]), c.append(best[i, j])
         return pa.table({"query": np.concatenate(a), "id": np.concatenate(b), "score": np.concatenate(c)})
 
-    found = v.unionByName(q).groupBy("part").applyInArrow(scan, "query long, id long, score double")
+    found = v.unionByName(q).groupBy("part", "block").applyInArrow(scan, "query long, id long, score double")
     return ranked(found.withColumn("score", F.col("score") + F.lit(0.0)), k)
 
 
