@@ -24,6 +24,8 @@ MAX_LISTS, PER_LIST = 4096, 40
 MAX_SPACES = 256
 #: Rows of a list that one task scans; longer lists are split, and their queries sent to each part.
 BLOCK_ROWS = 8192
+#: Rows that one task of the brute-force search holds.
+BRUTE_ROWS = 20_000
 #: Exact copies of a vector from which the group is searched once, by one representative.
 HEAVY = 64
 #: Columns added between two tests, and how many standard deviations a candidate must be too far to be dropped.
@@ -78,7 +80,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
-def fit_centroids(x: np.ndarray, lists: int, rounds: int = 4) -> np.ndarray:
+def fit_centroids(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means from evenly spaced sample rows; a centroid without rows stays where it was."""
     c = x[np.linspace(0, len(x) - 1, lists).astype(int)].copy()
     for _ in range(rounds):
@@ -251,8 +253,9 @@ def similar_pairs(found: DataFrame) -> DataFrame:
     return found.select("space", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
-def brute_force(vectors: DataFrame, queries: DataFrame, k: int = 5, min_cosine: float = 0.85, dim: int = 64, blocks: int = 8) -> DataFrame:
+def brute_force(vectors: DataFrame, queries: DataFrame, k: int = 5, min_cosine: float = 0.85, dim: int = 64) -> DataFrame:
     """The exact counterpart of neighbours() for a set of queries, in blocks of queries against all rows: space, a, b, cosine, rank."""
+    blocks = max(1, -(-vectors.count() // BRUTE_ROWS))
     base = vectors.mapInArrow(_units(dim), "space string, id string, vec binary").withColumn("role", F.lit(0).cast("byte")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     asked = queries.mapInArrow(_units(dim), "space string, id string, vec binary").withColumn("role", F.lit(1).cast("byte")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
