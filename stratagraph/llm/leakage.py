@@ -74,7 +74,7 @@ class Leaks:
 
     def passages(self, text: str) -> list[tuple[int, int, int]]:
         """(item, start, end): the longest stretches of the original text that an item's windows cover, end exclusive."""
-        plain, at = _mapped(text)
+        plain, begins, ends = _mapped(text)
         spans = [m.span() for m in _WORD.finditer(plain)]
         by_item: dict[int, list[list[int]]] = defaultdict(list)
         for last, item in self.matches([plain[a:b] for a, b in spans]):
@@ -84,24 +84,25 @@ class Leaks:
                 held[-1][1] = last
             else:
                 held.append([first, last])
-        return [(item, at[spans[a][0]], at[spans[b][1] - 1] + 1) for item, held in sorted(by_item.items()) for a, b in held]
+        return [(item, begins[spans[a][0]], ends[spans[b][1] - 1]) for item, held in sorted(by_item.items()) for a, b in held]
 
 
-def _mapped(text: str) -> tuple[str, list[int]]:
-    """The normalised text, and for each of its characters the place of the original it comes from.
+def _mapped(text: str) -> tuple[str, list[int], list[int]]:
+    """The normalised text, and for each of its characters where the characters of the original it comes from begin and end.
 
     Characters are normalised with the combining marks after them, as these can change together.
     """
-    out, at, i = [], [], 0
+    out, begins, ends, i = [], [], [], 0
     while i < len(text):
         j = i + 1
-        while j < len(text) and (unicodedata.combining(text[j]) or "ᅠ" <= text[j] <= "ᇿ"):
+        while j < len(text) and (unicodedata.combining(text[j]) or "\u1160" <= text[j] <= "\u11ff"):
             j += 1
         piece = normalise(text[i:j])
         out.append(piece)
-        at.extend([i if len(piece) == 1 or j == i + 1 else min(i + k, j - 1) for k in range(len(piece))])
+        begins.extend([i] * len(piece))
+        ends.extend([j] * len(piece))
         i = j
-    return "".join(out), at
+    return "".join(out), begins, ends
 
 
 def _parts(items: DataFrame) -> list[list[tuple[int, str]]]:

@@ -61,24 +61,28 @@ def _median(x: np.ndarray, lo: int, hi: int) -> tuple[float, int]:
 _STATS = "g string, t int, lt long, eq long, gt long, m_lt double, m_gt double, few array<double>"
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(few: int):  # noqa: ANN202
     """Per array and open target: the three-way count within its range, proposals for both sides, and the values if few are left."""
-    for pdf in batches:
-        out = []
-        for g, xs, targets in zip(pdf["g"], pdf["xs"], pdf["targets"], strict=True):
-            x = np.asarray(xs, np.float64)
-            for t in targets:
-                # The range is open: values strictly between lo and hi.
-                a = 0 if t["lo"] is None else int(np.searchsorted(x, t["lo"], "right"))
-                b = len(x) if t["hi"] is None else int(np.searchsorted(x, t["hi"], "left"))
-                if b <= a:
-                    continue
-                if t["left"] <= FEW:
-                    out.append((g, t["t"], 0, 0, 0, float("nan"), float("nan"), x[a:b]))
-                    continue
-                c, d = (int(np.clip(np.searchsorted(x, t["pivot"], s), a, b)) for s in ("left", "right"))
-                out.append((g, t["t"], c - a, d - c, b - d, _median(x, a, c)[0], _median(x, d, b)[0], None))
-        yield pd.DataFrame(out, columns=["g", "t", "lt", "eq", "gt", "m_lt", "m_gt", "few"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for g, xs, targets in zip(pdf["g"], pdf["xs"], pdf["targets"], strict=True):
+                x = np.asarray(xs, np.float64)
+                for t in targets:
+                    # The range is open: values strictly between lo and hi.
+                    a = 0 if t["lo"] is None else int(np.searchsorted(x, t["lo"], "right"))
+                    b = len(x) if t["hi"] is None else int(np.searchsorted(x, t["hi"], "left"))
+                    if b <= a:
+                        continue
+                    if t["left"] <= few:
+                        out.append((g, t["t"], 0, 0, 0, float("nan"), float("nan"), x[a:b]))
+                        continue
+                    c, d = (int(np.clip(np.searchsorted(x, t["pivot"], s), a, b)) for s in ("left", "right"))
+                    out.append((g, t["t"], c - a, d - c, b - d, _median(x, a, c)[0], _median(x, d, b)[0], None))
+            yield pd.DataFrame(out, columns=["g", "t", "lt", "eq", "gt", "m_lt", "m_gt", "few"])
+
+    return run
 
 
 def _weighted_median(value: str, weight: str) -> Column:
@@ -124,7 +128,7 @@ def multi_select(values: DataFrame, percents: Sequence[float] = PERCENTS, rungs:
         if large is None:
             large = cut(arrays.join(groups.where(n > FEW).select("g"), "g", "left_semi"))
         targets = state.groupBy("g").agg(F.collect_list(F.struct("t", "lo", "hi", "left", "pivot")).alias("targets"))
-        stats = large.join(targets, "g").mapInPandas(_count, _STATS)
+        stats = large.join(targets, "g").mapInPandas(_count(FEW), _STATS)
         summed = stats.groupBy("g", "t").agg(
             *[F.sum(c).alias(c) for c in ("lt", "eq", "gt")], _weighted_median("m_lt", "lt").alias("p_lt"), _weighted_median("m_gt", "gt").alias("p_gt"),
             F.sort_array(F.flatten(F.collect_list("few"))).alias("few"),

@@ -206,33 +206,34 @@ def neighbours(vectors: DataFrame, k: int = 5, min_cosine: float = 0.85, dim: in
     out_schema = "space string, a string, b string, cosine double, rank int"
     if not sizes:
         return spark.createDataFrame([], out_schema)
+    copies = cut(base.groupBy("space", F.xxhash64("vec").alias("vh")).agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("space", "vh"))
+    groups, searched = None, base
+    if copies.limit(1).count():
+        hot = bounded_broadcast(copies)
+        hashed = base.withColumn("vh", F.xxhash64("vec"))
+        members = hashed.join(hot, ["space", "vh"])
+        # The hash only finds the groups; a group is a vector itself. k + 1 smallest ids, by partial lists per salt first.
+        small = F.slice(F.array_sort(F.collect_set("id")), 1, k + 1)
+        salted = members.groupBy("space", "vec", F.pmod(F.xxhash64("id"), F.lit(4096)).alias("salt")).agg(small.alias("ids"))
+        groups = cut(salted.groupBy("space", "vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")))
+        searched = cut(hashed.join(hot, ["space", "vh"], "left_anti").select("space", "id", "vec").unionByName(groups.select("space", F.col("ids")[0].alias("id"), "vec")))
+        sizes = {r["space"]: r["n"] for r in searched.groupBy("space").agg(F.count("*").alias("n")).collect()}
+
     lists = {s: int(min(MAX_LISTS, max(1, n**0.5))) for s, n in sizes.items()}
     share = F.coalesce(*[F.when(F.col("space") == s, F.lit(min(1.0, lists[s] * PER_LIST / n))) for s, n in sizes.items()])
     draw = F.pmod(F.xxhash64("space", "id"), F.lit(1 << 20)) / float(1 << 20)
     sample: dict[str, list[bytes]] = {s: [] for s in sizes}
-    for r in base.where(draw < share).select("space", "vec").toLocalIterator():
+    for r in searched.where(draw < share).select("space", "vec").toLocalIterator():
         sample[r["space"]].append(bytes(r["vec"]))
     index, names = {}, sorted(sizes)
     for number, s in enumerate(names):
-        x = np.frombuffer(b"".join(sample[s]), np.float32).reshape(-1, dim) if sample[s] else rotation(dim)[:1]
+        # Distinct rows in an order of their own: copies would only be centroids twice, and the order of arrival varies.
+        x = np.frombuffer(b"".join(sorted(set(sample[s]))), np.float32).reshape(-1, dim) if sample[s] else rotation(dim)[:1]
         c = fit_centroids(x, min(lists[s], len(x)))
         held = np.bincount(np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)]), minlength=len(c))
         index[s] = (number, c, np.maximum(1, np.ceil(held * (sizes[s] / len(x)) / BLOCK_ROWS)).astype(np.int64))
     shared = spark.sparkContext.broadcast(index)
 
-    copies = cut(base.groupBy("space", F.xxhash64("vec").alias("vh")).agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("space", "vh"))
-    groups = None
-    searched = base
-    if copies.limit(1).count():
-        hot = bounded_broadcast(copies)
-        hashed = base.withColumn("vh", F.xxhash64("vec"))
-        members = hashed.join(hot, ["space", "vh"])
-        # The hash only finds the groups; a group is a vector itself. k + 1 smallest ids, by partial lists per salt first.
-        small = F.slice(F.array_sort(F.collect_set("id")), 1, k + 1)
-        salted = members.groupBy("space", "vec", F.pmod(F.xxhash64("id"), F.lit(4096)).alias("salt")).agg(small.alias("ids"))
-        groups = cut(salted.groupBy("space", "vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")))
-        searched = hashed.join(hot, ["space", "vh"], "left_anti").select("space", "id", "vec").unionByName(groups.select("space", F.col("ids")[0].alias("id"), "vec"))
-
     spread = searched.mapInArrow(_spread(shared, dim, nprobe), "sp int, list int, part int, role byte, id string, vec binary")
     pairs = spread.groupBy("sp", "list", "part").applyInArrow(_search(dim, k, 2 - 2 * min_cosine), "sp int, a string, b string, cosine double")
     pairs = pairs.withColumn("space", F.element_at(F.array(*map(F.lit, names)), F.col("sp") + 1)).select("space", "a", "b", "cosine")

@@ -1,6 +1,6 @@
 """Cutting oversized texts into pieces under a limit, at natural boundaries and with an overlap.
 
-Each text is an array of boundary strengths: a place at a blank line or after it is stronger than one at another line's
+Each text is an array of boundary strengths: a place between two blocks of lines is stronger than one at another line's
 start, that than one after a blank, and any character is a place to cut. A sparse table over the array answers "the
 strongest place in this window, ties to the right" in constant time, so a text of n characters costs n log n however
 many pieces it has.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Characters a piece may have, and how many of them may be repeated from the piece before.
 LIMIT, OVERLAP = 1500, 120
-#: Strengths of a cut before a character: a blank line or a block's first line, any other line, after white space, anywhere.
+#: Strengths of a cut before a character: between two blocks, any other line, after white space, anywhere.
 BLOCK, LINE, BLANK, ANY = 3, 2, 1, 0
 
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
@@ -43,7 +43,7 @@ def blocks_of(starts: np.ndarray, ends: np.ndarray, blank: np.ndarray) -> tuple[
     return starts[first], ends[last], first
 
 
-def strengths(text: str, starts: np.ndarray, blank: np.ndarray, block_starts: np.ndarray) -> np.ndarray:
+def strengths(text: str, starts: np.ndarray, blank: np.ndarray, block_starts: np.ndarray, block_ends: np.ndarray) -> np.ndarray:
     """Strength of a cut before each character."""
     s = np.zeros(len(text) + 1, np.int8)
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -52,6 +52,7 @@ def strengths(text: str, starts: np.ndarray, blank: np.ndarray, block_starts: np
     s[starts] = LINE
     s[starts[blank]] = BLOCK
     s[block_starts] = BLOCK
+    s[block_ends] = BLOCK
     return s
 
 
@@ -85,7 +86,7 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
         return [(0, n)] if n else []
     starts, ends, blank = lines_of(text)
     block_starts, block_ends, _ = blocks_of(starts, ends, blank)
-    s = strengths(text, starts, blank, block_starts)
+    s = strengths(text, starts, blank, block_starts, block_ends)
     highest = RangeMaximum(s)
     mirrored = RangeMaximum(s[::-1])
     pieces, start, cut = [], 0, 0
