@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Characters a piece may have, and how many of them may be repeated from the piece before.
 LIMIT, OVERLAP = 1500, 120
+#: Characters for which the tables are built at a time.
+TILE = 1 << 18
 #: Strengths of a cut before a character: between two blocks, any other line, after white space, anywhere.
 BLOCK, LINE, BLANK, ANY = 3, 2, 1, 0
 
@@ -57,13 +59,19 @@ def strengths(text: str, starts: np.ndarray, blank: np.ndarray, block_starts: np
 
 
 class RangeMaximum:
-    """A sparse table: position of the greatest value in a range, the rightmost of equal ones, in constant time."""
+    """A sparse table: position of the greatest value in a range of at most `longest`, in constant time.
 
-    def __init__(self, values: np.ndarray) -> None:
-        # Value and position in one integer, so that the maximum is also the rightmost.
-        level = values.astype(np.int64) << 40 | np.arange(len(values))
+    Of equal values the rightmost is meant, or the leftmost.
+    """
+
+    def __init__(self, values: np.ndarray, longest: int, leftmost: bool = False) -> None:
+        # Value and position in one integer (values below 8, at most 2^28 of them), so that one maximum settles ties.
+        self.top = len(values) - 1
+        at = np.arange(len(values), dtype=np.int32)
+        self.leftmost = leftmost
+        level = values.astype(np.int32) << 28 | (self.top - at if leftmost else at)
         self.levels = [level]
-        while 2 << (len(self.levels) - 1) <= len(values):
+        while 2 << (len(self.levels) - 1) <= min(longest, len(values)):
             half = 1 << (len(self.levels) - 1)
             level = np.maximum(level[:-half], level[half:])
             self.levels.append(level)
@@ -71,15 +79,17 @@ class RangeMaximum:
     def best(self, lo: int, hi: int) -> int:
         """Position of the maximum within lo..hi, both included."""
         k = (hi - lo + 1).bit_length() - 1
-        return int(max(self.levels[k][lo], self.levels[k][hi - (1 << k) + 1])) & ((1 << 40) - 1)
+        at = int(max(self.levels[k][lo], self.levels[k][hi - (1 << k) + 1])) & ((1 << 28) - 1)
+        return self.top - at if self.leftmost else at
 
 
 def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Start and end of each piece. A text within the limit is one piece; an empty one has none.
 
-    The end of a piece is the strongest place after what it repeats, within the limit. A cut before a block leaves the
+    The end of a piece is the strongest place after what it repeats, within the limit; a cut after a block leaves the
     blank lines to the piece that ends there, if they fit. The next piece begins up to `overlap` characters before the
     cut, at the strongest place there, ties to the left, unless that would keep it from holding the whole next block.
+    The tables are built for stretches of TILE characters at a time, so a text of any length needs little memory.
     """
     n = len(text)
     if n <= limit:
@@ -87,20 +97,21 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     starts, ends, blank = lines_of(text)
     block_starts, block_ends, _ = blocks_of(starts, ends, blank)
     s = strengths(text, starts, blank, block_starts, block_ends)
-    highest = RangeMaximum(s)
-    mirrored = RangeMaximum(s[::-1])
     pieces, start, cut = [], 0, 0
+    base, right, left = 0, None, None
     while n - start > limit:
-        end = highest.best(cut + 1, start + limit)
-        if end <= cut:
-            end = start + limit
+        if right is None or start + limit > base + right.top:
+            base = start
+            some = s[base : base + TILE + 2 * limit]
+            right, left = RangeMaximum(some, limit), RangeMaximum(some, limit, leftmost=True)
+        end = base + right.best(cut + 1 - base, start + limit - base)
         pieces.append((start, end))
         # The block that begins or goes on at the cut should fit into the next piece with what is repeated before it.
         b = int(np.searchsorted(block_ends, end, "right"))
         room = limit - (int(block_ends[b]) - end) if b < len(block_ends) else limit
         back = max(0, min(overlap, end - 1 - cut, room if room >= 0 else overlap))
         cut = end
-        start = end if not back else n - mirrored.best(n - end, n - (end - back))
+        start = base + left.best(end - back - base, end - base) if back else end
     pieces.append((start, n))
     return pieces
 

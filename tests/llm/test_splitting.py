@@ -44,7 +44,18 @@ def test_range_maximum(values, data):
     lo = data.draw(st.integers(0, len(values) - 1))
     hi = data.draw(st.integers(lo, len(values) - 1))
     part = values[lo : hi + 1]
-    assert splitting.RangeMaximum(np.array(values)).best(lo, hi) == lo + max(i for i, v in enumerate(part) if v == max(part))
+    assert splitting.RangeMaximum(np.array(values), 60).best(lo, hi) == lo + max(i for i, v in enumerate(part) if v == max(part))
+    assert splitting.RangeMaximum(np.array(values), 60, leftmost=True).best(lo, hi) == lo + part.index(max(part))
+
+
+def test_tiles_change_nothing(monkeypatch):
+    import random
+
+    r = random.Random(1)
+    text = "".join(r.choice(["\n", "\n\n", "word ", "x" * 40]) for _ in range(3000))
+    whole = splitting.split(text, 200, 30)
+    monkeypatch.setattr(splitting, "TILE", 50)
+    assert splitting.split(text, 200, 30) == whole
 
 
 def test_tables(spark):
