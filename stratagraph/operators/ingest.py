@@ -137,30 +137,50 @@ def digest(rows: DataFrame, by: list[str], line: Column) -> DataFrame:
     return level.groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("b", "h"))), ""), 256).alias("digest"))
 
 
+def reconcile(desired: DataFrame, current: DataFrame) -> DataFrame:
+    """root, slug, action of two registries (root, slug): 'add', 'remove', or 'rebind' where the slug differs."""
+    both = desired.select("root", F.col("slug").alias("_d"), F.lit(True).alias("_in_d")).join(current.select("root", F.col("slug").alias("_c"), F.lit(True).alias("_in_c")), "root", "full_outer")
+    action = F.when(F.col("_in_c").isNull(), "add").when(F.col("_in_d").isNull(), "remove").when(~F.col("_d").eqNullSafe(F.col("_c")), "rebind")
+    return both.select("root", F.coalesce("_d", "_c").alias("slug"), action.alias("action")).where("action is not null")
+
+
 _JS_SYMBOL = re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s+(\w+)|class\s+(\w+)|(?:const|let)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>)", re.M)
 _CALL = re.compile(r"(?<![\w$])([A-Za-z_$][\w$]*)\s*\(")
 _JS_IMPORT = re.compile(r"^\s*(?:import\s[^'\"\n]*from\s*|import\s*|.*require\()\s*['\"]([^'\"]+)['\"]", re.M)
+_INJECT = re.compile(r"\binject\(\s*([A-Za-z_$][\w$.]*)|^\s*@inject\s+([\w.<>]+)", re.M)
+_TYPE = re.compile(r"\b(?:extends|implements|new|instanceof|as)\s+([A-Z][\w$]*)|:\s*([A-Z][\w$]*)|<\s*([A-Z][\w$]*)\s*>")
+_PRIMITIVES = frozenset("Any Array Boolean Date Dict Dynamic Future Int Iterable Iterator List Map None Number Object Optional Promise Record Set String Tuple Type Union Void".split())
 _KEYWORDS = frozenset("if for while switch return function catch typeof super constructor".split())
 
 
 def extract(path: str, text: str) -> dict[str, list]:
-    """Symbols (name, kind, start, end, params), imports and calls (name, args) of one source text.
+    """Symbols (name, kind, start, end, params), imports, calls (name, args), injects and references of one source text.
+
+    injects are tokens given to inject(...) or @inject (they are no calls then); references are names of types in bases,
+    annotations, generics and casts, without primitive ones.
 
     Python by its own parser, other languages by patterns: a coarser reading, as no grammars are at hand.
     """
     symbols: list[tuple] = []
     imports: list[str] = []
     calls: list[tuple] = []
+    kinds: list[ast.AST] = []
+    injects = [a or b for a, b in _INJECT.findall(text)]
     if path.endswith(".py"):
         try:
             tree = ast.parse(text)
         except (SyntaxError, ValueError):
-            return {"symbols": [], "imports": [], "calls": []}
+            return {"symbols": [], "imports": [], "calls": [], "injects": [], "references": []}
         for n in ast.walk(tree):
             if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
                 symbols.append((n.name, "function_definition", n.lineno, n.end_lineno, len(n.args.args)))
+                kinds.extend(a.annotation for a in [*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs] if a.annotation)
+                kinds.extend([n.returns] if n.returns else [])
             elif isinstance(n, ast.ClassDef):
                 symbols.append((n.name, "class_definition", n.lineno, n.end_lineno, None))
+                kinds.extend(n.bases)
+            elif isinstance(n, ast.AnnAssign):
+                kinds.append(n.annotation)
             elif isinstance(n, ast.Import):
                 imports.extend(a.name for a in n.names)
             elif isinstance(n, ast.ImportFrom):
@@ -178,15 +198,18 @@ def extract(path: str, text: str) -> dict[str, list]:
             end = line_of(found[i + 1][1]) - 1 if i + 1 < len(found) else len(starts)
             symbols.append((name, "function_declaration", line_of(at), end, None))
         imports.extend(_JS_IMPORT.findall(text))
-        calls.extend((m, -1) for m in _CALL.findall(text) if m not in _KEYWORDS)
-    return {"symbols": symbols, "imports": imports, "calls": calls}
+        calls.extend((m, -1) for m in _CALL.findall(text) if m not in _KEYWORDS and m != "inject")
+    named = [m.id if isinstance(m, ast.Name) else m.attr for k in kinds for m in ast.walk(k) if isinstance(m, ast.Name | ast.Attribute)] if kinds else []
+    named += [] if path.endswith(".py") else [next(g for g in m if g) for m in _TYPE.findall(text)]
+    references = list(dict.fromkeys(r for r in named if r[:1].isupper() and r not in _PRIMITIVES))
+    return {"symbols": symbols, "imports": imports, "calls": calls, "injects": list(dict.fromkeys(injects)), "references": references}
 
 
-EXTRACTED = "path string, symbols array<struct<name string, kind string, start int, end int, params int>>, imports array<string>, calls array<struct<name string, args int>>"
+EXTRACTED = "path string, symbols array<struct<name string, kind string, start int, end int, params int>>, imports array<string>, calls array<struct<name string, args int>>, injects array<string>, references array<string>"
 
 
 def extract_files(files: DataFrame) -> DataFrame:
-    """One row per file (path, text) with its symbols, imports and calls; explode them for the rows of the graph."""
+    """One row per file (path, text) with what extract() finds in it; explode them for the rows of the graph."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -196,6 +219,8 @@ def extract_files(files: DataFrame) -> DataFrame:
                 "symbols": [[dict(zip(("name", "kind", "start", "end", "params"), s, strict=True)) for s in g["symbols"]] for g in got],
                 "imports": [g["imports"] for g in got],
                 "calls": [[{"name": n, "args": a} for n, a in g["calls"]] for g in got],
+                "injects": [g["injects"] for g in got],
+                "references": [g["references"] for g in got],
             })
 
     return files.select("path", "text").mapInPandas(run, EXTRACTED)

@@ -103,3 +103,37 @@ def containing(paths: DataFrame, roots: DataFrame) -> DataFrame:
     up = paths.select("project", "file", F.explode(F.expr("transform(sequence(1, size(split(file, '/'))), i -> substring_index(file, '/', i))")).alias("root"))
     hit = up.join(roots.select("project", "root").distinct(), ["project", "root"])
     return hit.groupBy("project", "file").agg(F.max_by("root", F.length("root")).alias("root"))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """project, file, module, target: the project's file that each relative import means; those that mean none are left out.
+
+    imports: project, file, module; files: project, path. Python's leading dots climb one directory less than there are, and
+    `a.b` means a/b.py or a/b/__init__.py. Paths ('./x', '../x') mean the exact file, then one with a suffix in order, then
+    an index file. All candidates are exploded with their order, joined once, and the first that exists is taken.
+    """
+    from stratagraph.sources.trees import normal_path
+
+    rel = imports.where(F.col("module").startswith("."))
+    folder = F.regexp_extract("file", r"^(.*/)?[^/]*$", 1)
+    python = F.col("file").endswith(".py") & ~F.col("module").contains("/")
+    dots = F.length(F.regexp_extract("module", r"^(\.+)", 1))
+    up = F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0)))
+    base = normal_path(F.when(python, F.concat(folder, up, F.replace(F.regexp_replace("module", r"^\.+", ""), F.lit("."), F.lit("/")))).otherwise(F.concat(folder, "module")))
+    tried = F.when(python, F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")))).otherwise(
+        F.array(base, *[F.concat(base, F.lit(x)) for x in SUFFIXES], *[F.concat(base, F.lit("/index" + x)) for x in SUFFIXES])
+    )
+    spread = rel.select("project", "file", "module", F.posexplode(tried).alias("ordinal", "path"))
+    return spread.join(files, ["project", "path"]).groupBy("project", "file", "module").agg(F.min_by("path", "ordinal").alias("target"))
+
+
+def assembly_members(types: DataFrame, members: DataFrame, asked: DataFrame) -> DataFrame:
+    """The public members of asked types: type_name, namespace, assembly, member, params, is_static; each signature once.
+
+    types: type_name, namespace, assembly; members: type_name, namespace, assembly, member, params, is_static; asked:
+    type_name, and namespace and assembly, of which null asks for any.
+    """
+    a = asked.select(F.col("type_name").alias("_t"), F.col("namespace").alias("_n"), F.col("assembly").alias("_a"))
+    fits = (F.col("type_name") == F.col("_t")) & (F.col("_n").isNull() | (F.col("_n") == F.col("namespace"))) & (F.col("_a").isNull() | (F.col("_a") == F.col("assembly")))
+    found = types.join(a, fits).select("type_name", "namespace", "assembly").distinct()
+    return found.join(members, ["type_name", "namespace", "assembly"]).select("type_name", "namespace", "assembly", "member", "params", "is_static").distinct()

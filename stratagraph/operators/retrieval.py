@@ -179,3 +179,31 @@ class HashingEmbedder:
             n = np.linalg.norm(v)
             out.append(v / n if n else v)
         return out
+
+
+def hydrate(hits: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """Hits (key, rank) with the columns of their rows, in order of rank; hits without a row are dropped."""
+    return hits.join(rows, key).orderBy("rank")
+
+
+def check_collection(vectors: DataFrame, dim: int, column: str = "vector") -> str:
+    """'' if a collection has a vector column of one length, else what is wrong: 'missing', 'legacy' (no array) or 'dimension'."""
+    if column not in vectors.columns:
+        return "missing"
+    if not vectors.schema[column].dataType.typeName() == "array":
+        return "legacy"
+    wrong = vectors.where(F.col(column).isNotNull() & (F.size(column) != dim)).limit(1).count()
+    return "dimension" if wrong else ""
+
+
+def render_pack(pack: DataFrame) -> DataFrame:
+    """section, text: a context pack (section, rank, title, score, negated) as one text per section, a line for each hit."""
+    flag = F.when(F.coalesce("negated", F.lit(False)), " NEGATED").otherwise("")
+    line = F.concat(F.lit("- "), F.substring("title", 1, 120), flag, F.format_string(" (%.3f)", F.col("score")))
+    held = pack.groupBy("section").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
+    return held.select("section", F.concat(F.lit("## "), "section", F.lit("\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("text"))
+
+
+def percent_change(old: Column, new: Column) -> Column:
+    """By how much new differs from old in percent, to one decimal; null for an old value of 0."""
+    return F.round(F.try_divide(100 * (new - old), old), 1)

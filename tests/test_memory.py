@@ -3,7 +3,7 @@ import random
 from conftest import rows
 
 from stratagraph.functions import text
-from stratagraph.operators import ingest, memory, metrics, retrieval
+from stratagraph.operators import ingest, memory, metrics, resolve, retrieval
 from stratagraph.runtime import numbered
 from pyspark.sql import functions as F
 
@@ -96,6 +96,35 @@ def test_extract():
     assert ingest.extract("bad.py", "def (")["symbols"] == []
 
 
+def test_injections_and_types():
+    ts = ingest.extract("a.ts", "class A extends Base<Item> {\n  svc = inject(Token);\n  run(x: Thing): Promise<Out> { return call(x as Other); }\n}\n")
+    assert ts["injects"] == ["Token"] and ts["references"] == ["Base", "Item", "Thing", "Out", "Other"] and ("inject", -1) not in ts["calls"]
+    py = ingest.extract("a.py", "class A(Base):\n    x: Thing = None\n    def f(self, y: list[Item]) -> mod.Out: ...\n")
+    assert sorted(py["references"]) == ["Base", "Item", "Out", "Thing"]
+
+
+def test_registry_pack_and_collection(spark):
+    reg = "root string, slug string"
+    got = ingest.reconcile(spark.createDataFrame([("a", "x"), ("b", "new"), ("c", "z")], reg), spark.createDataFrame([("b", "old"), ("c", "z"), ("d", "w")], reg))
+    assert rows(got) == [("a", "x", "add"), ("b", "new", "rebind"), ("d", "w", "remove")]
+    pack = spark.createDataFrame([("claims", 2, "s p o", 0.5, True), ("claims", 1, "a b c", 1.0, False)], "section string, rank int, title string, score double, negated boolean")
+    assert rows(retrieval.render_pack(pack), "text") == [("## claims\n- a b c (1.000)\n- s p o NEGATED (0.500)",)]
+    v = spark.createDataFrame([("a", [1.0, 2.0], "x")], "id string, vector array<float>, old string")
+    assert [retrieval.check_collection(v, *a) for a in ((2,), (3,), (2, "none"), (2, "old"))] == ["", "dimension", "missing", "legacy"]
+    assert rows(retrieval.hydrate(spark.createDataFrame([("b", 1), ("a", 2)], "id string, rank int"), v), "id", "rank") == [("a", 2)]
+
+
+def test_relative_imports_and_members(spark):
+    files = spark.createDataFrame([("p", f) for f in ("a/x.ts", "a/y/index.ts", "b.js", "q/m.py", "q/r/__init__.py", "q/s/t.py")], "project string, path string")
+    asked = [("a/z.ts", "./x"), ("a/z.ts", "./y"), ("a/z.ts", "../b"), ("a/z.ts", "./none"), ("a/z.ts", "lib"), ("q/s/t.py", "..m"), ("q/k.py", ".r"), ("q/k.py", ".s.t")]
+    got = resolve.resolve_imports(spark.createDataFrame([("p", f, m) for f, m in asked], "project string, file string, module string"), files)
+    assert rows(got, "module", "target") == [("../b", "b.js"), ("..m", "q/m.py"), ("./x", "a/x.ts"), ("./y", "a/y/index.ts"), (".r", "q/r/__init__.py"), (".s.t", "q/s/t.py")]
+    types = spark.createDataFrame([("T", "n1", "a1"), ("T", "n2", "a2")], "type_name string, namespace string, assembly string")
+    members = spark.createDataFrame([("T", "n1", "a1", "Run", "int", False)] * 2 + [("T", "n2", "a2", "Go", "", True)], "type_name string, namespace string, assembly string, member string, params string, is_static boolean")
+    ask = spark.createDataFrame([("T", "n1", None)], "type_name string, namespace string, assembly string")
+    assert rows(resolve.assembly_members(types, members, ask), "member") == [("Run",)]
+
+
 def test_numbered(spark):
     df = spark.createDataFrame([(x,) for x in "dcbaf"], "x string").repartition(3)
     assert rows(numbered(df, "x"), "position", "x") == [(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "f")]
