@@ -115,6 +115,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p7_percentiles": p7_percentiles, "p7_months": p7_months, "p7_totals": p7_totals, "p10_found": p10_found, "p10_scores": p10_scores, "p8_found": p8_found, "p8_passages": p8_passages, "p8_report": p8_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p1_found": p1_found, "p1_recall": p1_recall, "p2_found": p2_found, "p2_reasons": p2_reasons}
 
 SQL: dict[str, str] = {
+    "p5_found": """
+WITH c AS (SELECT chunk_id, text FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC NULLS LAST) AS k FROM chunks WHERE chunk_id IS NOT NULL) WHERE k = 1 AND length(text) > 1500),
+l AS (SELECT chunk_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM c),
+p AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY chunk_id ORDER BY no) - length(line) - 1 AS spot, regexp_full_match(line, '[ \\t\\r]*') AS blank FROM l),
+b AS (SELECT *, sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY chunk_id ORDER BY no) AS block FROM p),
+k AS (SELECT chunk_id, block, min(no) AS line_no, min(spot) AS s, max(spot + length(line) - CASE WHEN ends_with(line, chr(13)) THEN 1 ELSE 0 END) AS e FROM b WHERE NOT blank GROUP BY ALL),
+n AS (SELECT *, lag(s) OVER (PARTITION BY chunk_id ORDER BY s) AS ps, lag(e) OVER (PARTITION BY chunk_id ORDER BY s) AS pe FROM k)
+SELECT chunk_id, line_no FROM n WHERE pe - ps <= 1380 AND e - s <= 1380 AND e - ps > 1500
+""",
     "p7_percentiles": _P7_DAY,
     "p7_totals": _P7_DAY.replace("metric, backend, day", "metric, backend"),
 }
