@@ -62,6 +62,15 @@ def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
     return at.withColumn(name, (before + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("_p", "_i")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan in at least as many partitions as there are cores.
+
+    Only a small input, of few files, is moved; a large one already has more partitions. Use it before heavy Python work.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if df has been counted to be small enough, else df as it is.
 
