@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratagraph.runtime import spread
+
 #: Consecutive words that make a leak.
 WORDS = 12
 #: Most words of items in one automaton. A larger set of items is split, and the documents are read once for each part.
@@ -120,7 +122,7 @@ def _parts(items: DataFrame) -> list[list[tuple[int, str]]]:
 
 def _scan(documents: DataFrame, items: DataFrame, n: int, of, schema: T.StructType) -> DataFrame:  # noqa: ANN001
     spark = documents.sparkSession
-    rows = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    rows = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"))
     found = None
     for part in _parts(items):
         shared = spark.sparkContext.broadcast(part)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.runtime import bounded_broadcast, cut
+from stratagraph.runtime import bounded_broadcast, cut, spread
 
 #: The vocabulary by whose tokens sizes are counted, a file for the `tokenizers` library.
 TOKENIZER = os.environ.get("STRATAGRAPH_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
@@ -59,7 +59,7 @@ def token_sizes(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
     A doc_id given several times takes part once, with its greatest size.
     """
     names = bounded_broadcast(targets.select(spelling(F.col("source")).alias("source")).where("source is not null").distinct())
-    rows = documents.select("doc_id", "text", spelling(F.col("source")).alias("source")).where("doc_id is not null and text is not null and text <> ''").join(names, "source", "left_semi")
+    rows = spread(documents.select("doc_id", "text", spelling(F.col("source")).alias("source")).where("doc_id is not null and text is not null and text <> ''")).join(names, "source", "left_semi")
     sized = rows.mapInPandas(_sizes(tokenizer), "doc_id long, source string, tokens long").where("tokens > 0")
     return sized.groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("m")).select("doc_id", "m.source", "m.tokens")
 
