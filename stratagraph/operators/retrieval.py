@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratagraph.functions.text import tokens
+from stratagraph.runtime import BROADCAST_ROWS, cut
 
 #: Constant of reciprocal rank fusion, and how many times k each branch fetches.
 RRF_K, PREFETCH = 60, 4
@@ -26,8 +27,8 @@ STOP_WORDS = (
     "a an the and or of in on for to is are was were be been being do does did how where what which who when why from into via with without that this these those it its "
     "app code file files service services component components feature features module modules angular typescript ts function method class type interface"
 ).split()
-#: Files of one word that keyword search looks at.
-FILES_PER_WORD = 500
+#: Parts of the files of one word where the queries' words are too many to broadcast.
+WORD_SALTS = 16
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = -2.0) -> DataFrame:
@@ -129,15 +130,40 @@ def fuse_dbsf(branches: list[DataFrame], k: int) -> DataFrame:
 def keyword_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, path, matched, rank: files by how many of a query's words they hold; ties by path.
 
-    docs: path, text; queries: query (the text). Words have at least three characters; the FILES_PER_WORD first files of a
-    word by path are looked at.
+    docs: path, text; queries: query (the text). Words have at least three characters; every file that holds a word counts.
+    Each batch of files gives its k best of each query, so that no pair of a query and a file is shuffled; where the
+    queries' words are too many to hold at once, words are joined, the files of each in WORD_SALTS parts.
     """
     word = F.array_except(F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 3), F.array(*map(F.lit, STOP_WORDS)))
-    held = docs.select("path", F.explode(word).alias("word")).distinct()
-    first = held.withColumn("rn", F.row_number().over(W.partitionBy("word").orderBy("path"))).where(F.col("rn") <= FILES_PER_WORD)
-    asked = queries.select("query", F.col("query").alias("text")).distinct().select("query", F.explode(word).alias("word"))
-    met = asked.join(first, "word").groupBy("query", "path").agg(F.count("*").alias("matched"))
-    return met.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("matched"), "path"))).where(F.col("rank") <= k).select("query", "path", "matched", "rank")
+    asked = cut(queries.select("query", F.col("query").alias("text")).distinct().select("query", F.explode(word).alias("word")))
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    words = asked.select("word").distinct()
+    held = docs.select("path", F.explode(word).alias("word")).join(F.broadcast(words) if few else words, "word", "left_semi")
+    if few:
+        asks: dict[str, list[str]] = {}
+        for r in asked.collect():
+            asks.setdefault(r["query"], []).append(r["word"])
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                n, paths = len(pdf), pdf.sort_values("path", na_position="first", ignore_index=True)
+                at = pd.Series(np.repeat(np.arange(n), paths.words.map(len)))
+                files = {w: x.to_numpy() for w, x in at.groupby(np.concatenate([[], *paths.words]).astype(object))}
+                found = []
+                for query, some in asks.items():
+                    hits = [files[w] for w in some if w in files]
+                    matched = np.bincount(np.concatenate(hits), minlength=n) if hits else np.zeros(n, np.int64)
+                    top = np.flatnonzero(matched)
+                    top = top[np.lexsort((top, -matched[top]))[:k]]
+                    found.append(pd.DataFrame({"query": query, "path": paths.path.to_numpy()[top], "matched": matched[top]}))
+                yield pd.concat([pd.DataFrame({"query": [], "path": [], "matched": []}), *[x for x in found if len(x)]], ignore_index=True).astype({"matched": "int64"})
+
+        found = held.groupBy("path").agg(F.collect_set("word").alias("words")).mapInPandas(best, "query string, path string, matched long")
+    else:
+        parts = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(WORD_SALTS - 1))))
+        met = held.distinct().withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(WORD_SALTS)).cast("int")).join(parts, ["word", "salt"])
+        found = met.groupBy("query", "path").agg(F.count("*").alias("matched"))
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("matched"), "path"))).where(F.col("rank") <= k).select("query", "path", "matched", "rank")
 
 
 def ir_measures(hits: DataFrame, queries: DataFrame, gold: Column) -> DataFrame:

@@ -135,3 +135,13 @@ def test_keyword_search(spark):
     docs = spark.createDataFrame([("a.ts", "load the Ledger"), ("b.ts", "ledger ledger cursor"), ("c.ts", None)], "path string, text string")
     got = retrieval.keyword_search(docs, spark.createDataFrame([("where is the ledger cursor",)], "query string"), 5)
     assert rows(got, "path", "matched", "rank") == [("a.ts", 1, 2), ("b.ts", 2, 1)]
+
+
+def test_keyword_search_looks_at_all_files(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"a/{i:04}.ts", "ledger") for i in range(700)] + [("z/last.ts", "ledger cursor"), ("z/last.ts", "ledger")], "path string, text string")
+    ask = spark.createDataFrame([("ledger cursor",)], "query string")
+    want = [("a/0000.ts", 1, 2), ("z/last.ts", 2, 1)]
+    assert rows(retrieval.keyword_search(docs, ask, 2), "path", "matched", "rank") == want
+    # The same where the words are too many to broadcast.
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
+    assert rows(retrieval.keyword_search(docs, ask, 2), "path", "matched", "rank") == want
