@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -152,6 +153,75 @@ _TYPE = re.compile(r"\b(?:extends|implements|new|instanceof|as)\s+([A-Z][\w$]*)|
 _PRIMITIVES = frozenset("Any Array Boolean Date Dict Dynamic Future Int Iterable Iterator List Map None Number Object Optional Promise Record Set String Tuple Type Union Void".split())
 _KEYWORDS = frozenset("if for while switch return function catch typeof super constructor".split())
 
+# Languages with typed declarations, by extension: comments and strings, declarations and imports.
+_QUIET = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"{3}.*?(?:\"{3}|\Z)|'{3}.*?(?:'{3}|\Z)|@\"(?:\"\"|[^\"])*\"?|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?", re.S)
+_QUIET_PHP = re.compile(r"#(?!\[)[^\n]*|" + _QUIET.pattern, re.S)
+_MODS = r"(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|ref|unsafe|new|file|virtual|override|async|extern|delegate|required|final|const|external|late|covariant|factory|base|interface(?=\s+class\b)|mixin(?=\s+class\b))[ \t]+)*"
+_HEAD = r"^[ \t]*(?:\[[^\]\n]*\][ \t]*|@\w[\w.]*(?:\([^()\n]*\))?[ \t]+)*(?!(?:return|new|throw|await|yield|else|case|goto|in|is|as|do|try|using|import|export|assert|var)\b)"
+_KIND = r"(?P<kind>class|interface|struct|enum|record(?:[ \t]+(?:class|struct))?|mixin|extension(?:[ \t]+type)?|typedef|trait)[ \t]+"
+_TYPED = r"(?:(?P<type>(?:\([^()\n]*\)|[\w.:]+(?:<[^(){};\n]*>)?)(?:\[[, ]*\])*\??)[ \t]+)"
+_NAMED = r"(?:\w+(?:<[^<>(){};\n]*>)?\.)*(?P<member>[A-Za-z_$][\w$]*)"
+_MEMBER = _HEAD + "(?P<mods>" + _MODS + ")(?:" + _KIND + r"(?P<name>[A-Za-z_]\w*)(?=\s*[<({:;=]|[ \t]+(?:extends|implements|with|on|where)\b|\s*$)|" + _TYPED + "?" + _NAMED
+_DECLARED = {
+    ".cs": re.compile(_MEMBER + r"[ \t]*(?:<[^(){};\n]*>)?[ \t]*(?:\((?:[^(){};]|\([^()]*\))*\)\s*(?:where\b[^{;]*)?(?P<tail>\{|=>|;|:\s*(?:base|this)\b)|\s*(?P<get>\{\s*(?:\w+\s+)?(?:get|set|init)\b|=>)))", re.M),
+    ".dart": re.compile(_MEMBER + r"[ \t]*(?:<[^(){};\n]*>)?[ \t]*(?:\((?:[^();]|\([^()]*\))*\)\s*(?:(?:async|sync)\*?\s*)?(?P<tail>\{|=>|;|:)))|^[ \t]*(?:(?:static|external)[ \t]+)*(?:[\w.]+(?:<[^(){};\n]*>)?\??[ \t]+)?get[ \t]+(?P<getter>\w+)(?=\s*(?:async\b|=>|\{|;))", re.M),
+    ".php": re.compile(r"^[ \t]*(?:<\?php[ \t]+)?(?:#\[[^\]\n]*\][ \t]*)*(?P<mods>(?:(?:abstract|final|public|protected|private|static|readonly)[ \t]+)*)(?:function[ \t]+&?[ \t]*(?P<member>\w+)[ \t]*(?P<tail>\()|(?P<kind>class|interface|trait|enum)[ \t]+(?P<name>[A-Za-z_]\w*)(?=\s*[:{]|\s+(?:extends|implements)\b|\s*$))", re.M | re.I),
+}
+_IMPORTED = {
+    ".cs": re.compile(r"^[ \t]*(?:global[ \t]+)?using[ \t]+(?:static[ \t]+)?(?:\w+[ \t]*=[ \t]*)?([A-Za-z_][\w.:]*)(?:<[^;\n]*>)?[ \t]*;", re.M),
+    ".dart": re.compile(r"^[ \t]*(?:import|export)\s+['\"]([^'\"\n]+)['\"]", re.M),
+    ".php": re.compile(r"^[ \t]*(?:<\?php[ \t]+)?use\s+(?!\()([^;(]+);|\b(?:require|include)(?:_once)?[ \t]*\(?[ \t]*['\"]([^'\"\n]+)['\"]", re.M | re.I),
+}
+_METHOD = {".cs": "method_declaration", ".dart": "function_declaration", ".php": "method_declaration"}
+_NO_NAMES = _KEYWORDS | frozenset("foreach elseif using lock fixed sizeof nameof default isset unset empty array list echo print exit die match fn when await assert get set else do try return new throw".split())
+
+
+def _typed(path: str, text: str) -> tuple[list, list, list] | None:
+    """Symbols, imports and calls of a C#, Dart or PHP text; None for other languages. Comments and strings declare and call nothing."""
+    kind = next((e for e in _DECLARED if path.endswith(e)), None)
+    if not kind:
+        return None
+    bare = (_QUIET_PHP if kind == ".php" else _QUIET).sub(lambda m: re.sub(r"[^\r\n]", " ", m.group()), text)
+    ends = [m.start() for m in re.finditer("\n", text)]
+    line_of = lambda p: bisect.bisect_left(ends, p) + 1
+    closed: dict[int, int] = {}
+    depth: list[int] = []
+    for m in re.finditer("[{}]", bare):
+        if m.group() == "{":
+            depth.append(m.start())
+        elif depth:
+            closed[depth.pop()] = m.start()
+    symbols, names, bodies = [], set(), []
+    for m in _DECLARED[kind].finditer(bare):
+        g = m.groupdict()
+        group = "name" if g["name"] else "getter" if g.get("getter") else "member"
+        name = g[group]
+        if group == "member":
+            if name in _NO_NAMES or (g.get("get") and not g["mods"]) or (kind != ".php" and not (g["mods"] or g["type"]) and g["tail"] != "{"):
+                continue
+        at = m.start() + len(m.group()) - len(m.group().lstrip())
+        stop = re.compile("[{;]").search(bare, m.end(group) if group != "member" or kind == ".php" else m.end() - 1 if g.get("tail") else m.end(group))
+        end = len(text) if not stop else stop.start() if stop.group() == ";" else closed.get(stop.start(), len(text))
+        what = f"{g['kind'].split()[0].lower()}_declaration" if group == "name" else "property_declaration" if group == "getter" or g.get("get") else _METHOD[kind]
+        symbols.append((name, what, line_of(at), line_of(min(end, len(text.rstrip()))), None))
+        names.add(m.start(group))
+        if group == "name" and stop and stop.group() == "{":
+            bodies.append((stop.start(), end))
+    imports = []
+    for m in _IMPORTED[kind].finditer(text):
+        word = m.start() + len(m.group()) - len(m.group().lstrip())
+        # A use within a class takes a trait in and imports nothing.
+        if bare[word] == " " or (kind == ".php" and m.group(1) and any(a < word < b for a, b in bodies)):
+            continue
+        if kind != ".php" or m.group(2):
+            imports.append(m.group(1) or m.group(2))
+            continue
+        clause = re.sub(r"^(?:function|const)\s+", "", m.group(1).strip(), flags=re.I)
+        prefix, _, inner = clause.rpartition("{")
+        imports.extend(prefix + re.sub(r"^(?:function|const)\s+|\s+as\s+\w+$", "", x.strip(), flags=re.I) for x in inner.rstrip("} \r\n").split(",") if x.strip())
+    calls = [(m.group(1), -1) for m in _CALL.finditer(bare) if m.start(1) not in names and m.group(1) not in _NO_NAMES and m.group(1) not in ("function", "use")]
+    return symbols, imports, calls
+
 
 def extract(path: str, text: str) -> dict[str, list]:
     """Symbols (name, kind, start, end, params), imports, calls (name, args), injects and references of one source text.
@@ -159,7 +229,8 @@ def extract(path: str, text: str) -> dict[str, list]:
     injects are tokens given to inject(...) or @inject (they are no calls then); references are names of types in bases,
     annotations, generics and casts, without primitive ones.
 
-    Python by its own parser, other languages by patterns: a coarser reading, as no grammars are at hand.
+    Python by its own parser, C#, Dart and PHP by patterns for their declarations, others by those for JavaScript: a coarser
+    reading, as no grammars are at hand.
     """
     symbols: list[tuple] = []
     imports: list[str] = []
@@ -190,6 +261,8 @@ def extract(path: str, text: str) -> dict[str, list]:
                 name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
                 if name:
                     calls.append((name, len(n.args) + len(n.keywords)))
+    elif typed := _typed(path, text):
+        symbols, imports, calls = typed
     else:
         starts = [0, *(m.end() for m in re.finditer("\n", text))]
         found = [(next(g for g in m.groups() if g), m.start(0) + len(m.group(0)) - len(m.group(0).lstrip())) for m in _JS_SYMBOL.finditer(text)]

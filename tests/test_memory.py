@@ -145,3 +145,15 @@ def test_keyword_search_looks_at_all_files(spark, monkeypatch):
     # The same where the words are too many to broadcast.
     monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
     assert rows(retrieval.keyword_search(docs, ask, 2), "path", "matched", "rank") == want
+
+
+def test_extract_typed_languages():
+    cs = ingest.extract("a.cs", "using System.Text;\nusing static A.B;\nusing X = C.D;\n// using No;\nnamespace N;\npublic sealed class Box<T> : Base\n{\n    public Box(int n) : base(n) { }\n    public int Size { get; set; }\n    public async Task<List<T>> scanAlias(string a)\n    {\n        if (a == null) { return load(a); }\n        return run(\"class No {\", a);\n    }\n}\npublic FathomHandler sweep(string s)\n{\n    using (var f = open(s)) { }\n}\n")
+    assert [s[:4] for s in cs["symbols"]] == [("Box", "class_declaration", 6, 15), ("Box", "method_declaration", 8, 8), ("Size", "property_declaration", 9, 9), ("scanAlias", "method_declaration", 10, 14), ("sweep", "method_declaration", 16, 19)]
+    assert cs["imports"] == ["System.Text", "A.B", "C.D"] and [c[0] for c in cs["calls"]] == ["base", "load", "run", "open"]
+    dart = ingest.extract("a.dart", "import 'a.dart';\nexport \"b.dart\";\nclass Box extends Base {\n  Box(this.n) : super();\n  int get size => n;\n  Future<void> load({int a = 1}) async {\n    return scan(a);\n  }\n}\nCinderVisitor scanSpan() {\n  while (walk(x) < 3) {\n    run(x);\n  }\n}\n")
+    assert [s[:4] for s in dart["symbols"]] == [("Box", "class_declaration", 3, 9), ("size", "property_declaration", 5, 5), ("load", "function_declaration", 6, 8), ("scanSpan", "function_declaration", 10, 14)]
+    assert dart["imports"] == ["a.dart", "b.dart"]
+    php = ingest.extract("a.php", "<?php\nuse A\\B;\nuse C, D as E;\nuse F\\{G, H as I};\nrequire_once 'x.php';\nabstract class Box extends Base\n{\n    use SomeTrait;\n    public static function load($a)\n    {\n        return scan($a);\n    }\n}\nfunction run() { }\n")
+    assert [s[:4] for s in php["symbols"]] == [("Box", "class_declaration", 6, 13), ("load", "method_declaration", 9, 12), ("run", "method_declaration", 14, 14)]
+    assert php["imports"] == ["A\\B", "C", "D", "F\\G", "F\\H", "x.php"] and [c[0] for c in php["calls"]] == ["scan"]
