@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import bisect
+import keyword
 import re
 from collections.abc import Iterator
 
@@ -153,6 +154,57 @@ _TYPE = re.compile(r"\b(?:extends|implements|new|instanceof|as)\s+([A-Z][\w$]*)|
 _PRIMITIVES = frozenset("Any Array Boolean Date Dict Dynamic Future Int Iterable Iterator List Map None Number Object Optional Promise Record Set String Tuple Type Union Void".split())
 _KEYWORDS = frozenset("if for while switch return function catch typeof super constructor".split())
 
+_QUIET_PYTHON = re.compile(r"#[^\r\n]*|\"{3}(?:\\.|[^\\])*?(?:\"{3}|\Z)|'{3}(?:\\.|[^\\])*?(?:'{3}|\Z)|\"(?:\\.|[^\"\\\r\n])*\"?|'(?:\\.|[^'\\\r\n])*'?", re.S)
+_ROUND = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+_PYTHON_HEAD = re.compile(rf"^(?P<indent>[ \t]*)(?P<head>(?:async[ \t]+)?def[ \t]+(?P<def>\w+)[ \t]*(?:\[[^\]\n]*\])?[ \t]*{_ROUND}[ \t]*(?:->[^:\r\n]+)?:|class[ \t]+(?P<class>\w+)[ \t]*(?:\[[^\]\n]*\])?[ \t]*(?:{_ROUND})?[ \t]*:)", re.M)
+_PYTHON_IMPORT = re.compile(r"^[ \t]*(?:from[ \t]+(\.*[ \t]*[\w.]*)[ \t]+import\b|import[ \t]+([\w., \t]+?)[ \t]*(?:;|\r?$))", re.M)
+_PYTHON_DEFINED = re.compile(r"\b(?:def|class)[ \t]+$")
+
+
+def _python(text: str) -> tuple[ast.Module, int]:
+    """The tree of the longest beginning of whole top-level statements that can be parsed, and where the rest of the text begins."""
+    lines = re.split(r"(?<=\n)|(?<=\r)(?!\n)", text)
+    n = len(lines)
+    while n > 0:
+        try:
+            return ast.parse("".join(lines[:n])), sum(map(len, lines[:n]))
+        except (SyntaxError, ValueError) as e:
+            # Before the error, and at the beginning of a statement; each round ends earlier.
+            n = min(n, getattr(e, "lineno", None) or n) - 1
+            while n > 0 and not re.match(r"[A-Za-z_@]", lines[n]):
+                n -= 1
+    return ast.Module([], []), 0
+
+
+def _broken_python(text: str, begin: int) -> tuple[list, list, list, list]:
+    """Symbols, imports, calls and types of the part that can't be parsed, by patterns; headers that are whole are parsed."""
+    if begin >= len(text):
+        return [], [], [], []
+    rest = text[begin:]
+    bare = _QUIET_PYTHON.sub(lambda m: re.sub(r"[^\r\n]", " ", m.group()), rest)
+    ends = [m.end() for m in re.finditer(r"\r\n|\r|\n", text)]
+    line_of = lambda p: bisect.bisect_right(ends, begin + p) + 1
+    symbols, kinds = [], []
+    for m in _PYTHON_HEAD.finditer(bare):
+        params = None
+        try:
+            node = ast.parse(rest[m.start("head") : m.end()] + " pass").body[0]
+            if m.group("def"):
+                params = len(node.args.args)
+                kinds.extend(a.annotation for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs] if a.annotation)
+                kinds.extend([node.returns] if node.returns else [])
+            else:
+                kinds.extend(node.bases)
+        except (SyntaxError, ValueError):
+            pass
+        after = re.compile(rf"^[ \t]{{0,{len(m.group('indent'))}}}[^\s)\]}}]", re.M).search(bare, m.end())
+        end = m.end() + len(bare[m.end() : after.start() if after else len(bare)].rstrip())
+        symbols.append((m.group("def") or m.group("class"), "function_definition" if m.group("def") else "class_definition", line_of(m.start("head")), line_of(end), params))
+    imports = [re.sub(r"\s", "", a) if a else x.split()[0] for a, b in _PYTHON_IMPORT.findall(bare) for x in (a or b).split(",") if x.strip()]
+    calls = [(m.group(1), -1) for m in _CALL.finditer(bare) if not keyword.iskeyword(m.group(1)) and not _PYTHON_DEFINED.search(bare, max(0, m.start() - 20), m.start())]
+    return symbols, imports, calls, kinds
+
+
 # Languages with typed declarations, by extension: comments and strings, declarations and imports.
 _QUIET = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"{3}.*?(?:\"{3}|\Z)|'{3}.*?(?:'{3}|\Z)|@\"(?:\"\"|[^\"])*\"?|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?", re.S)
 _QUIET_PHP = re.compile(r"#(?!\[)[^\n]*|" + _QUIET.pattern, re.S)
@@ -229,8 +281,8 @@ def extract(path: str, text: str) -> dict[str, list]:
     injects are tokens given to inject(...) or @inject (they are no calls then); references are names of types in bases,
     annotations, generics and casts, without primitive ones.
 
-    Python by its own parser, C#, Dart and PHP by patterns for their declarations, others by those for JavaScript: a coarser
-    reading, as no grammars are at hand.
+    Python by its own parser, and by patterns from where a text can't be parsed (calls have -1 arguments there); C#, Dart and PHP
+    by patterns for their declarations, others by those for JavaScript: a coarser reading, as no grammars are at hand.
     """
     symbols: list[tuple] = []
     imports: list[str] = []
@@ -238,10 +290,7 @@ def extract(path: str, text: str) -> dict[str, list]:
     kinds: list[ast.AST] = []
     injects = [a or b for a, b in _INJECT.findall(text)]
     if path.endswith(".py"):
-        try:
-            tree = ast.parse(text)
-        except (SyntaxError, ValueError):
-            return {"symbols": [], "imports": [], "calls": [], "injects": [], "references": []}
+        tree, begin = _python(text)
         for n in ast.walk(tree):
             if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
                 symbols.append((n.name, "function_definition", n.lineno, n.end_lineno, len(n.args.args)))
@@ -261,6 +310,8 @@ def extract(path: str, text: str) -> dict[str, list]:
                 name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
                 if name:
                     calls.append((name, len(n.args) + len(n.keywords)))
+        for found, more in zip((symbols, imports, calls, kinds), _broken_python(text, begin), strict=True):
+            found.extend(more)
     elif typed := _typed(path, text):
         symbols, imports, calls = typed
     else:

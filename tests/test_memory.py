@@ -157,3 +157,19 @@ def test_extract_typed_languages():
     php = ingest.extract("a.php", "<?php\nuse A\\B;\nuse C, D as E;\nuse F\\{G, H as I};\nrequire_once 'x.php';\nabstract class Box extends Base\n{\n    use SomeTrait;\n    public static function load($a)\n    {\n        return scan($a);\n    }\n}\nfunction run() { }\n")
     assert [s[:4] for s in php["symbols"]] == [("Box", "class_declaration", 6, 13), ("load", "method_declaration", 9, 12), ("run", "method_declaration", 14, 14)]
     assert php["imports"] == ["A\\B", "C", "D", "F\\G", "F\\H", "x.php"] and [c[0] for c in php["calls"]] == ["scan"]
+
+
+def test_extract_broken_python():
+    whole = "import os\nclass A(Base):\n    def f(self, x: Thing):\n        return g(x, 1)\n\n"
+    want = ingest.extract("a.py", whole)
+    # What is intact stays as it is, wherever the text breaks off.
+    for end in ("def h(a, b", "def h(a):\n", "x = '''abc", "@wraps(", "if x:\n"):
+        got = ingest.extract("a.py", whole + end)
+        assert got["symbols"][:2] == want["symbols"] and got["imports"] == ["os"] and got["references"] == want["references"] and ("g", 2) in got["calls"]
+    got = ingest.extract("a.py", whole + "def h(a, b=(1, 2)):\n    # def no():\n    from .c import d\n    s = 'class No:'\n    k(a)\n    def i(): return 1\n    m(b, [")
+    assert got["symbols"][2:] == [("h", "function_definition", 6, 12, 2), ("i", "function_definition", 11, 11, 0)]
+    assert got["imports"] == ["os", ".c"] and [c for c in got["calls"] if c[1] < 0] == [("k", -1), ("m", -1)]
+    # An error in the middle leaves what comes after it.
+    got = ingest.extract("a.py", "def a():\n    pass\nprint 'x'\ndef b(c):\n    return d(c)\n")
+    assert [s[:4] for s in got["symbols"]] == [("a", "function_definition", 1, 2), ("b", "function_definition", 4, 5)] and got["calls"] == [("d", -1)]
+    assert ingest.extract("a.py", "a\0b")["symbols"] == []
