@@ -31,19 +31,20 @@ STOP_WORDS = (
 WORD_SALTS = 16
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = -2.0) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = -2.0, within: tuple[str, ...] = ()) -> DataFrame:
     """query, id, score, rank: for each query its k nearest vectors by cosine (DOUBLE, rounded to 6; ties by id), itself left out.
 
     vectors and queries: id LONG, vector. Vectors are split into parts of about PART_ROWS rows and queries into blocks of as
     many; each pair of a part and a block is one task of matrix products, from which only k rows of a query come out.
-    Vectors without length, null vectors and an empty side find nothing.
+    Vectors without length, null vectors and an empty side find nothing. within: columns of both sides and of the result;
+    only rows that agree in them meet, and only these need vectors of one length.
     """
     parts, blocks = (max(1, -(-df.count() // PART_ROWS)) for df in (vectors, queries))
 
     def side(df: DataFrame, role: int, own: str, n: int, other: str, m: int) -> DataFrame:
         spread = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        rows = df.where("vector is not null and id is not null").select("id", "vector", F.lit(role).cast("byte").alias("role"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own))
-        return rows.withColumn(other, spread).select("id", "vector", "role", "part", "block")
+        rows = df.where("vector is not null and id is not null").dropna(subset=list(within)).select(*within, "id", "vector", F.lit(role).cast("byte").alias("role"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own))
+        return rows.withColumn(other, spread).select(*within, "id", "vector", "role", "part", "block")
 
     v = side(vectors, 0, "part", parts, "block", blocks)
     q = side(queries, 1, "block", blocks, "part", parts)
@@ -63,15 +64,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = -2.
             best = np.take_along_axis(s, order, 1)
             i, j = np.nonzero(best >= min_score)
             a.append(ids[some][i]), b.append(ids[rows][order[i, j]]), c.append(best[i, j])
-        return pa.table({"query": np.concatenate(a), "id": np.concatenate(b), "score": np.concatenate(c)})
+        hits = {"query": np.concatenate(a), "id": np.concatenate(b), "score": np.concatenate(c)}
+        return pa.table({w: pa.repeat(table.column(w)[0], len(hits["id"])) for w in within} | hits)
 
-    found = v.unionByName(q).groupBy("part", "block").applyInArrow(scan, "query long, id long, score double")
-    return ranked(found.withColumn("score", F.col("score") + F.lit(0.0)), k)
+    kinds = "".join(f"`{w}` {vectors.schema[w].dataType.simpleString()}, " for w in within)
+    found = v.unionByName(q).groupBy(*within, "part", "block").applyInArrow(scan, kinds + "query long, id long, score double")
+    return ranked(found.withColumn("score", F.col("score") + F.lit(0.0)), k, within)
 
 
-def ranked(hits: DataFrame, k: int) -> DataFrame:
+def ranked(hits: DataFrame, k: int, within: tuple[str, ...] = ()) -> DataFrame:
     """The k best hits of each query with their rank; ties by id."""
-    return hits.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(W.partitionBy(*within, "query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
 def is_entrypoint(path: Column) -> Column:
@@ -89,42 +92,46 @@ def rerank(hits: DataFrame, generated: Column, entrypoint: Column, k: int) -> Da
     return adjusted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def sparse_terms(rows: DataFrame) -> DataFrame:
-    """id, term, weight of (id, sparse_idx, sparse_val); only positive weights that are numbers."""
-    z = rows.select("id", F.explode(F.arrays_zip("sparse_idx", "sparse_val")).alias("z"))
-    return z.select("id", F.col("z.sparse_idx").alias("term"), F.col("z.sparse_val").cast("double").alias("weight")).where("weight > 0 and not isnan(weight)")
+def sparse_terms(rows: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """id, term, weight (and the columns within) of (id, sparse_idx, sparse_val); only positive weights that are numbers."""
+    z = rows.select(*within, "id", F.explode(F.arrays_zip("sparse_idx", "sparse_val")).alias("z"))
+    return z.select(*within, "id", F.col("z.sparse_idx").alias("term"), F.col("z.sparse_val").cast("double").alias("weight")).where("weight > 0 and not isnan(weight)")
 
 
-def sparse_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, id, score, rank by the sum of query weight * row weight * idf over shared terms; idf = ln(1 + (N - n + 0.5) / (n + 0.5))."""
-    terms = sparse_terms(rows)
-    n_rows = rows.agg(F.count("*").alias("total"))
-    idf = terms.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n_rows)).select("term", F.log(1 + (F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
-    asked = sparse_terms(queries).join(idf, "term").select(F.col("id").alias("query"), "term", (F.col("weight") * F.col("idf")).alias("qw"))
-    met = asked.join(terms, "term").where("query <> id")
-    return ranked(met.groupBy("query", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score")), k)
+def sparse_top_k(rows: DataFrame, queries: DataFrame, k: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """query, id, score, rank by the sum of query weight * row weight * idf over shared terms; idf = ln(1 + (N - n + 0.5) / (n + 0.5)).
+
+    within: columns of both sides and of the result; only rows that agree in them meet and count for the idf.
+    """
+    terms = sparse_terms(rows, within)
+    n_rows = rows.groupBy(*within).agg(F.count("*").alias("total"))
+    n_terms = terms.groupBy(*within, "term").agg(F.count("*").alias("n"))
+    idf = (n_terms.join(n_rows, list(within)) if within else n_terms.crossJoin(F.broadcast(n_rows))).select(*within, "term", F.log(1 + (F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
+    asked = sparse_terms(queries, within).join(idf, [*within, "term"]).select(*within, F.col("id").alias("query"), "term", (F.col("weight") * F.col("idf")).alias("qw"))
+    met = asked.join(terms, [*within, "term"]).where("query <> id")
+    return ranked(met.groupBy(*within, "query", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score")), k, within)
 
 
-def fuse_rrf(branches: list[DataFrame], k: int) -> DataFrame:
+def fuse_rrf(branches: list[DataFrame], k: int, within: tuple[str, ...] = ()) -> DataFrame:
     """Reciprocal rank fusion of ranked branches (query, id, rank)."""
-    all_ = branches[0].select("query", "id", "rank")
+    all_ = branches[0].select(*within, "query", "id", "rank")
     for b in branches[1:]:
-        all_ = all_.unionByName(b.select("query", "id", "rank"))
-    return ranked(all_.groupBy("query", "id").agg(F.round(F.sum(1 / (F.col("rank") + RRF_K)), 9).alias("score")), k)
+        all_ = all_.unionByName(b.select(*within, "query", "id", "rank"))
+    return ranked(all_.groupBy(*within, "query", "id").agg(F.round(F.sum(1 / (F.col("rank") + RRF_K)), 9).alias("score")), k, within)
 
 
-def fuse_dbsf(branches: list[DataFrame], k: int) -> DataFrame:
+def fuse_dbsf(branches: list[DataFrame], k: int, within: tuple[str, ...] = ()) -> DataFrame:
     """Distribution-based fusion: scores of a branch and query are scaled from mean - 3 sd .. mean + 3 sd to 0 .. 1, then added up."""
-    w = W.partitionBy("query")
+    w = W.partitionBy(*within, "query")
 
     def scaled(b: DataFrame) -> DataFrame:
         sd = F.stddev_samp("score").over(w)
-        return b.select("query", "id", F.when(sd > 1e-12, (F.col("score") - (F.avg("score").over(w) - 3 * sd)) / (6 * sd)).otherwise(0.5).alias("part"))
+        return b.select(*within, "query", "id", F.when(sd > 1e-12, (F.col("score") - (F.avg("score").over(w) - 3 * sd)) / (6 * sd)).otherwise(0.5).alias("part"))
 
     all_ = scaled(branches[0])
     for b in branches[1:]:
         all_ = all_.unionByName(scaled(b))
-    return ranked(all_.groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score")), k)
+    return ranked(all_.groupBy(*within, "query", "id").agg(F.round(F.sum("part"), 6).alias("score")), k, within)
 
 
 def keyword_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -156,6 +156,34 @@ def q_hybrid_dbsf(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.fuse_dbsf(list(_branches(spark, d, 40)), 10)
 
 
+def _all_models(spark: SparkSession, d: str) -> DataFrame:
+    """Current rows of all models, each model a collection; vector is null where the dense one isn't usable."""
+    c = ingest.cache_put(table(spark, d, "embed_cache"))
+    fine = (F.size("dense") == 64) & ~F.exists("dense", lambda x: x.isNull() | F.isnan(x)) & F.exists("dense", lambda x: x != 0)
+    number = F.conv(F.substring("chunk_hash", 1, 15), 16, 10).cast("long")
+    return cut(c.select("model", number.alias("id"), F.when(fine, F.col("dense")).alias("vector"), "sparse_idx", "sparse_val"))
+
+
+def _branches_models(spark: SparkSession, d: str, k: int) -> list[DataFrame]:
+    c = _all_models(spark, d)
+    q = c.where("id % 20 = 0")
+    return [retrieval.top_k(c, q, k, within=("model",)), retrieval.sparse_top_k(c, q, k, ("model",))]
+
+
+def q_sparse_topk_models(spark: SparkSession, d: str) -> DataFrame:
+    """q_sparse_topk over the whole table, within each model."""
+    c = _all_models(spark, d)
+    return retrieval.sparse_top_k(c, c.where("id % 20 = 0"), 10, ("model",))
+
+
+def q_hybrid_rrf_models(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.fuse_rrf(_branches_models(spark, d, 40), 10, ("model",))
+
+
+def q_hybrid_dbsf_models(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.fuse_dbsf(_branches_models(spark, d, 40), 10, ("model",))
+
+
 def q_ir_metrics(spark: SparkSession, d: str) -> DataFrame:
     """How often a vector's nearest have its own label."""
     v = _vectors(spark, d)
@@ -382,6 +410,17 @@ f AS (SELECT term, ln(1 + ((SELECT count(*) FROM c) - count(*) + 0.5) / (count(*
 sp AS (SELECT q.id AS query, d.id, round(sum(q.weight * f.idf * d.weight), 6) AS score FROM tt q JOIN f ON q.term = f.term JOIN tt d ON d.term = q.term AND d.id <> q.id WHERE q.id % 20 = 0 GROUP BY ALL),
 de AS (SELECT q.id AS query, d.id, round(list_cosine_similarity(q.x, d.x), 6) AS score FROM c q JOIN c d ON q.id <> d.id WHERE q.id % 20 = 0),
 """ + "b1 AS (" + _top("de", 40) + "), b2 AS (" + _top("sp", 40) + ")"
+_CM = """
+WITH z AS (SELECT model, CAST(('0x' || substr(chunk_hash, 1, 15)) AS BIGINT) AS id, dense, sparse_idx, sparse_val FROM (SELECT *, row_number() OVER (PARTITION BY model, chunk_hash ORDER BY ts DESC) AS k FROM embed_cache WHERE model IS NOT NULL AND chunk_hash IS NOT NULL) WHERE k = 1),
+c AS (SELECT model, id, CAST(dense AS DOUBLE[]) AS x FROM z WHERE len(dense) = 64 AND len(list_filter(dense, lambda y: y IS NULL OR isnan(y))) = 0 AND len(list_filter(dense, lambda y: y <> 0)) > 0),
+tt AS (SELECT * FROM (SELECT model, id, unnest(sparse_idx) AS term, CAST(unnest(sparse_val) AS DOUBLE) AS weight FROM z) WHERE weight > 0 AND NOT isnan(weight)),
+n AS (SELECT model, count(*) AS total FROM z GROUP BY model),
+f AS (SELECT model, term, ln(1 + (any_value(total) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tt JOIN n USING (model) GROUP BY model, term),
+sp AS (SELECT q.model, q.id AS query, d.id, round(sum(q.weight * f.idf * d.weight), 6) AS score FROM tt q JOIN f ON q.model = f.model AND q.term = f.term JOIN tt d ON d.model = q.model AND d.term = q.term AND d.id <> q.id WHERE q.id % 20 = 0 GROUP BY ALL),
+de AS (SELECT q.model, q.id AS query, d.id, round(list_cosine_similarity(q.x, d.x), 6) AS score FROM c q JOIN c d ON q.model = d.model AND q.id <> d.id WHERE q.id % 20 = 0),
+"""
+_TOP_M = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, query ORDER BY score DESC, id) AS rank FROM {}) WHERE rank <= {}"
+_CM += "b1 AS (" + _TOP_M.format("de", 40) + "), b2 AS (" + _TOP_M.format("sp", 40) + ")"
 _ONCE = "WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC NULLS LAST, text DESC) AS k FROM chunks WHERE chunk_id IS NOT NULL) WHERE k = 1)"
 _WORDS = "list_distinct(list_filter(" + _TOK + ", lambda t: len(t) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS) + "], t)))"
 _ORDER = """
@@ -427,6 +466,10 @@ SQL = {
     "q_hybrid_dbsf": _C + """, n AS (SELECT query, id, CASE WHEN sd > 1e-12 THEN (score - (av - 3 * sd)) / (6 * sd) ELSE 0.5 END AS part FROM (SELECT *, stddev_samp(score) OVER (PARTITION BY query) AS sd, avg(score) OVER (PARTITION BY query) AS av FROM b1)
         UNION ALL SELECT query, id, CASE WHEN sd > 1e-12 THEN (score - (av - 3 * sd)) / (6 * sd) ELSE 0.5 END FROM (SELECT *, stddev_samp(score) OVER (PARTITION BY query) AS sd, avg(score) OVER (PARTITION BY query) AS av FROM b2)),
         r AS (SELECT query, id, round(sum(part), 6) AS score FROM n GROUP BY ALL) """ + _top("r", 10),
+    "q_sparse_topk_models": _CM + _TOP_M.format("sp", 10),
+    "q_hybrid_rrf_models": _CM + ", r AS (SELECT model, query, id, round(sum(1.0 / (rank + 60)), 9) AS score FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2) GROUP BY ALL) " + _TOP_M.format("r", 10),
+    "q_hybrid_dbsf_models": _CM + """, p AS (SELECT *, 1 AS b FROM b1 UNION ALL SELECT *, 2 FROM b2), w AS (SELECT *, stddev_samp(score) OVER v AS sd, avg(score) OVER v AS av FROM p WINDOW v AS (PARTITION BY b, model, query)),
+        r AS (SELECT model, query, id, round(sum(CASE WHEN sd > 1e-12 THEN (score - (av - 3 * sd)) / (6 * sd) ELSE 0.5 END), 6) AS score FROM w GROUP BY ALL) """ + _TOP_M.format("r", 10),
     "q_ir_metrics": _V + ", w AS (" + _top("s", 10, ", label, gold") + """), f AS (SELECT v.id, min(rank) FILTER (w.label = w.gold) AS first FROM v LEFT JOIN w ON w.query = v.id WHERE v.id % 20 = 0 GROUP BY v.id)
         SELECT count(*) AS n, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(CASE WHEN first <= 10 THEN 1 / log2(first + 1) ELSE 0 END), 6) AS ndcg_10 FROM f""",
     "q_keyword_baseline": _ONCE + f""", dw AS (SELECT DISTINCT concat_ws('/', project, file_path) AS path, unnest({_WORDS.format("text")}) AS word FROM c WHERE text IS NOT NULL),

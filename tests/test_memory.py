@@ -173,3 +173,17 @@ def test_extract_broken_python():
     got = ingest.extract("a.py", "def a():\n    pass\nprint 'x'\ndef b(c):\n    return d(c)\n")
     assert [s[:4] for s in got["symbols"]] == [("a", "function_definition", 1, 2), ("b", "function_definition", 4, 5)] and got["calls"] == [("d", -1)]
     assert ingest.extract("a.py", "a\0b")["symbols"] == []
+
+
+def test_search_within_models(spark, tmp_path):
+    from stratagraph.plans import memory_queries
+
+    one, two, bad = [1.0] + [0.0] * 63, [1.0, 1.0] + [0.0] * 62, [0.0] * 64
+    h = lambda i: f"{i:015x}" + "0" * 49
+    cache = [(h(20), "mini-64", one, [1], [1.0], 1.0), (h(20), "wide-64", two, [1], [2.0], 1.0), (h(21), "wide-64", one, [1, 2], [1.0, 1.0], 1.0), (h(22), "wide-64", bad, [1], [3.0], 1.0), (h(22), "mini-64", None, [1], [3.0], 1.0), (h(23), "mini-64", two, None, None, 1.0)]
+    spark.createDataFrame(cache, "chunk_hash string, model string, dense array<float>, sparse_idx array<int>, sparse_val array<float>, ts double").write.parquet(f"{tmp_path}/embed_cache.parquet")
+    # An unusable dense vector takes no sparse one away, and models don't meet.
+    sparse = rows(memory_queries.q_sparse_topk_models(spark, str(tmp_path)), "model", "query", "id", "rank")
+    assert sparse == [("mini-64", 20, 22, 1), ("wide-64", 20, 21, 2), ("wide-64", 20, 22, 1)]
+    for q in (memory_queries.q_hybrid_rrf_models, memory_queries.q_hybrid_dbsf_models):
+        assert {r[:3] for r in rows(q(spark, str(tmp_path)), "model", "query", "id")} == {("mini-64", 20, 22), ("mini-64", 20, 23), ("wide-64", 20, 21), ("wide-64", 20, 22)}
