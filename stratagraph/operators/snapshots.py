@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratagraph.runtime import bounded_broadcast
+from stratagraph.runtime import bounded_broadcast, cut
 from stratagraph.sources.tables import canonical_json
 
-#: Buckets of the key dictionary. Each holds an even share of all distinct keys, whatever the projects' sizes.
-KEY_BUCKETS = 8192
-#: Copies of each orphan key in the last join, so that a key with a third of all edges is read by that many tasks.
-SALTS = 16
+#: Rows of nodes and edges for each slice of a project: what one task numbers, compresses and matches.
+ROWS_PER_SLICE = 200_000
 
 
 def snapshot_order(manifest: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -69,63 +67,75 @@ def snapshot_diff(records: DataFrame, order: DataFrame) -> DataFrame:
     )
 
 
-def _side(edges: DataFrame, side: str) -> DataFrame:
-    return edges.select("project", "head_sha", F.col(f"{side}_label").alias("label"), F.col(f"{side}_key").alias("key"))
+def project_slices(nodes: DataFrame, edges: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """project, slices: into how many slices the keys of a project are split, in proportion to its rows."""
+    rows = nodes.select("project").unionByName(edges.select("project")).where("project is not null")
+    return rows.groupBy("project").agg(F.ceil(F.count("*") / rows_per_slice).cast("int").alias("slices"))
 
 
-def orphan_keys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def key_occurrences(nodes: DataFrame, edges: DataFrame, slices: DataFrame) -> DataFrame:
+    """project, slice, head_sha, label, key, parent, kid: each key of a snapshot once as a node's (parent) and once as a reference.
+
+    kid is the key's integer: its rank among all keys of the project's slice, over all snapshots, so that a key has the
+    same integer everywhere. Rows are made distinct with map-side combining, so a hot key is one row a snapshot. Null
+    projects, snapshots and keys are left out; a null label is one of its own.
+    """
+    parent = nodes.select("project", "head_sha", "label", F.col("node_key").alias("key"), F.lit(True).alias("parent"))
+    side = lambda s: edges.select("project", "head_sha", F.col(f"{s}_label").alias("label"), F.col(f"{s}_key").alias("key"), F.lit(False).alias("parent"))
+    rows = parent.unionByName(side("src")).unionByName(side("dst")).where("project is not null and head_sha is not null and key is not null")
+    rows = rows.withColumn("label", F.coalesce("label", F.lit("\u0000"))).join(slices, "project")
+    sliced = rows.select("project", F.pmod(F.xxhash64("label", "key"), F.col("slices")).cast("int").alias("slice"), "head_sha", "label", "key", "parent").distinct()
+    return sliced.repartition("project", "slice").withColumn("kid", F.dense_rank().over(W.partitionBy("project", "slice").orderBy("label", "key")))
+
+
+def parent_runs(keys: DataFrame) -> DataFrame:
+    """project, slice, head_sha, run_start, run_end, n: the integers of each snapshot's nodes, compressed into contiguous runs."""
+    at = W.partitionBy("project", "slice", "head_sha").orderBy("kid")
+    # Along the sorted integers, an integer less its position is the same within a run and greater in the next.
+    run = F.col("kid") - F.row_number().over(at)
+    parents = keys.where("parent").select("project", "slice", "head_sha", "kid").withColumn("run", run)
+    return parents.groupBy("project", "slice", "head_sha", "run").agg(F.min("kid").alias("run_start"), F.max("kid").alias("run_end"), F.count("*").alias("n")).drop("run")
+
+
+def orphan_keys(nodes: DataFrame, edges: DataFrame, slices: DataFrame) -> DataFrame:
     """Distinct (project, head_sha, label, key) that edges refer to and no node of that snapshot has.
 
-    1. A dictionary gives every distinct (project, label, key) of parents and references an integer: the rank of the key
-       in its hash bucket. Keys are made distinct before, with map-side combining, so a hot key is a single row.
-    2. The sorted integers of each snapshot's nodes are compressed into contiguous runs. As snapshots are nearly
-       complete, a bucket of a snapshot is a few runs.
-    3. A reference is as-of matched to the last run that starts at or before it; beyond that run's end it is an orphan.
-    All three steps share one exchange on the bucket.
+    1. A dictionary over all snapshots gives every (project, label, key) an integer (key_occurrences()).
+    2. The sorted integers of a snapshot's nodes become runs (parent_runs()). References don't take part in that, and as
+       a snapshot has most of its project's keys, runs are few.
+    3. A reference is as-of matched to the last run that starts at or before it; without one, or beyond its end, it is an
+       orphan.
+    All steps share the exchange on (project, slice), and a slice has about ROWS_PER_SLICE rows at most.
     """
-    parent = nodes.select("project", "head_sha", "label", F.col("node_key").alias("key"), F.lit(1).alias("p"))
-    child = _side(edges, "src").unionByName(_side(edges, "dst")).withColumn("p", F.lit(0))
-    both = parent.unionByName(child).where("project is not null and head_sha is not null and key is not null")
-    both = both.withColumn("label", F.coalesce("label", F.lit("\u0000")))
-    distinct = (
-        both.withColumn("bucket", F.pmod(F.xxhash64("project", "label", "key"), F.lit(KEY_BUCKETS)))
-        .groupBy("bucket", "project", "label", "key", "head_sha")
-        .agg(F.max("p").alias("parent"), F.min("p").alias("only_parent"))
-    )
-    ranked = distinct.withColumn("kid", F.dense_rank().over(W.partitionBy("bucket").orderBy("project", "label", "key")))
-    by_snapshot = W.partitionBy("bucket", "project", "head_sha").orderBy("kid")
-    # Within a snapshot, kid minus the count of parents so far is the same for all parents of a run and grows from run to run.
-    runs = (
-        ranked.withColumn("before", F.sum("parent").over(by_snapshot.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("run", F.when(F.col("parent") == 1, F.col("kid") - F.col("before")))
-        .withColumn("starts", (F.col("parent") == 1) & ~F.col("run").eqNullSafe(F.last("run", True).over(by_snapshot.rowsBetween(W.unboundedPreceding, -1))))
-    )
-    # The run's end isn't known at its start in one pass, but up to any row it is the last parent's integer.
-    matched = runs.withColumn("run_start", F.last(F.when(F.col("starts"), F.col("kid")), True).over(by_snapshot.rowsBetween(W.unboundedPreceding, 0))).withColumn(
-        "run_end", F.last(F.when(F.col("parent") == 1, F.col("kid")), True).over(by_snapshot.rowsBetween(W.unboundedPreceding, 0))
-    )
-    return matched.where("only_parent = 0 and (run_start is null or kid > run_end)").select("project", "head_sha", "label", "key")
+    keys = key_occurrences(nodes, edges, slices)
+    place = ["project", "slice", "head_sha"]
+    runs = parent_runs(keys).select(*place, F.col("run_start").alias("at"), F.lit(0).alias("what"), "run_end", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("key"))
+    refs = keys.where("not parent").select(*place, F.col("kid").alias("at"), F.lit(1).alias("what"), F.lit(None).cast("int").alias("run_end"), "label", "key")
+    so_far = W.partitionBy(*place).orderBy("at", "what").rowsBetween(W.unboundedPreceding, 0)
+    matched = runs.unionByName(refs).withColumn("end", F.last("run_end", True).over(so_far))
+    return matched.where("what = 1 and (end is null or at > end)").select("project", "head_sha", "label", "key")
 
 
-def orphan_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def orphan_references(nodes: DataFrame, edges: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Edges whose source or target is no node of their snapshot: project, head_sha, edge_type, src_key, dst_key, side.
 
     One row per distinct edge key and side. Edges with a null dst_key, src_key, edge_type, project or head_sha are no
     references and don't count; a null label on a side never names a node, so the edge counts. Node rows with a null
-    part name nothing. Extra columns are ignored; repeated and late rows count once.
+    part name nothing. Extra columns are ignored; repeated and late rows count once. Edges are matched with the orphan keys
+    in as many salts as their project has slices, so that a key with a third of all edges is read by as many tasks.
     """
     usable = edges.where("dst_key is not null and src_key is not null and edge_type is not null and project is not null and head_sha is not null")
-    lost = orphan_keys(nodes, usable).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    slices = bounded_broadcast(cut(project_slices(nodes, usable, rows_per_slice)))
+    lost = orphan_keys(nodes, usable, slices).join(slices, "project").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
 
-    def cases(side: str) -> DataFrame:
-        refs = usable.select(
+    def refs(side: str) -> DataFrame:
+        return usable.select(
             "project", "head_sha", "edge_type", "src_key", "dst_key", F.lit(side).alias("side"),
             F.coalesce(f"{side}_label", F.lit("\u0000")).alias("label"), F.col(f"{side}_key").alias("key"),
         )
-        return refs
 
-    refs = cases("src").unionByName(cases("dst")).withColumn("salt", F.pmod(F.xxhash64("edge_type", "src_key", "dst_key"), F.lit(SALTS)).cast("int"))
-    found = refs.join(lost, ["project", "head_sha", "label", "key", "salt"], "left_semi")
+    salted = refs("src").unionByName(refs("dst")).join(slices, "project").withColumn("salt", F.pmod(F.xxhash64("edge_type", "src_key", "dst_key"), F.col("slices")).cast("int"))
+    found = salted.join(lost, ["project", "head_sha", "label", "key", "salt"], "left_semi")
     return found.select("project", "head_sha", "edge_type", "src_key", "dst_key", "side").distinct()
 
 

@@ -62,6 +62,27 @@ def test_many_keys_against_brute_force(spark):
     assert rows(snapshots.orphan_references(n, e), "head_sha", "src_key", "dst_key", "side") == want
 
 
+def test_runs_decide_and_slices_change_nothing(spark):
+    nodes = [("p", f"s{s}", "Symbol", f"k{i:03}", "{}") for s in range(3) for i in range(300) if (i + 10 * s) % 25] + [("q", "t", "File", "a", "{}")]
+    edges = [("p", f"s{s}", "CALLS", "Symbol", f"k{i:03}", "Symbol", f"k{(i * 13 + s) % 320:03}", "{}") for s in range(3) for i in range(300)]
+    _, n, e = make(spark, [], nodes, edges)
+    slices = snapshots.project_slices(n, e)
+    assert rows(slices) == [("p", 1), ("q", 1)]
+    keys = snapshots.key_occurrences(n, e, slices).cache()
+    runs = snapshots.parent_runs(keys)
+    # 12 of 300 keys are missing from each snapshot: 864 parents are 13 runs each, or 12 where the first key is missing.
+    assert (keys.where("parent").count(), runs.where("project = 'p'").count()) == (864 + 1, 13 * 2 + 12)
+    assert rows(runs.where("project = 'q'"), "run_start", "run_end", "n") == [(1, 1, 1)]
+    have = {(x[1], x[3]) for x in nodes}
+    want = {(x[1], key) for x in edges for key in (x[4], x[6]) if (x[1], key) not in have}
+    asked = {(x[1], key) for x in edges for key in (x[4], x[6])}
+    assert {(r["head_sha"], r["key"]) for r in snapshots.orphan_keys(n, e, slices).collect()} == want
+    # Without nodes there are no runs, and every reference is an orphan.
+    assert {(r["head_sha"], r["key"]) for r in snapshots.orphan_keys(n.limit(0), e, slices).collect()} == asked
+    whole = rows(snapshots.orphan_references(n, e))
+    assert len(whole) and whole == rows(snapshots.orphan_references(n, e, rows_per_slice=100))
+
+
 def test_empty(spark):
     m, n, e = make(spark, [], [], [])
     assert snapshots.orphan_references(n, e).count() == 0
