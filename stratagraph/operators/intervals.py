@@ -16,8 +16,8 @@ OPEN = (1 << 63) - 1
 #: Width of a slab in seconds. Disjoint intervals of whole seconds that start in one slab are at most half as many,
 #: 302,400, as each needs a second and a gap: the proven bound of any list held in memory.
 SLAB_SECONDS = 7 * 86_400
-#: Groups into which the partial lists of one (entity, slab) are split at the first level of the tree.
-BRANCHES = 32
+#: Partial lists that are merged at once at a level of the tree, and intervals that a partition holds before it lets go of them.
+FAN_IN, HELD = 16, 1_000_000
 
 _LISTS = T.StructType([T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType()))])
 
@@ -31,25 +31,47 @@ def merge_sorted(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return starts[at], reach[np.concatenate((at[1:] - 1, [len(starts) - 1]))]
 
 
+def _merge_two(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Linear merge of two sorted disjoint lists: each one's places among the other's are found, then both are read once."""
+    (s, e), (t, f) = a, b
+    at = np.searchsorted(s, t, "right") + np.arange(len(t))
+    starts, ends, own = np.empty(len(s) + len(t), np.int64), np.empty(len(s) + len(t), np.int64), np.ones(len(s) + len(t), bool)
+    own[at] = False
+    starts[at], ends[at], starts[own], ends[own] = t, f, s, e
+    return merge_sorted(starts, ends)
+
+
 def merge_lists(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """One sorted disjoint list from several: their sorted runs are merged by a stable merge sort, then joined up."""
-    if len(lists) == 1:
-        return lists[0]
-    starts, ends = (np.concatenate([x[i] for x in lists]) for i in (0, 1))
-    order = np.argsort(starts, kind="stable")
-    return merge_sorted(starts[order], ends[order])
+    """One sorted disjoint list from several, merged in pairs."""
+    while len(lists) > 1:
+        lists = [_merge_two(*lists[i : i + 2]) if i + 1 < len(lists) else lists[i] for i in range(0, len(lists), 2)]
+    return lists[0]
 
 
 def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per Arrow batch, the disjoint list of each (entity, slab) in it."""
+    """Per partition, the disjoint list of each (entity, slab) in it; more than one only if it holds over HELD intervals."""
+    held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    size = 0
+
+    def out() -> pd.DataFrame:
+        return pd.DataFrame({"entity": [k[0] for k in held], "slab": [k[1] for k in held], "starts": [v[0] for v in held.values()], "ends": [v[1] for v in held.values()]})
+
     for pdf in batches:
-        pdf = pdf.sort_values(["entity", "slab", "s"], kind="stable")
         if not len(pdf):
             continue
+        pdf = pdf.sort_values(["entity", "slab", "s"], kind="stable")
         entity, slab, s, e = pdf.entity.to_numpy(), pdf.slab.to_numpy(), pdf.s.to_numpy(np.int64), pdf.e.to_numpy(np.int64)
         at = np.flatnonzero(np.concatenate(([True], (entity[1:] != entity[:-1]) | (slab[1:] != slab[:-1]))))
-        merged = [merge_sorted(s[a:b], e[a:b]) for a, b in zip(at, [*at[1:], len(s)], strict=True)]
-        yield pd.DataFrame({"entity": entity[at], "slab": slab[at], "starts": [m[0] for m in merged], "ends": [m[1] for m in merged]})
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(s)], strict=True):
+            key = (entity[a], slab[a])
+            old, new = held.get(key), merge_sorted(s[a:b], e[a:b])
+            held[key] = new if old is None else _merge_two(old, new)
+            size += len(held[key][0]) - (0 if old is None else len(old[0]))
+        if size > HELD:
+            yield out()
+            held, size = {}, 0
+    if held:
+        yield out()
 
 
 @F.pandas_udf(_LISTS)
@@ -58,22 +80,26 @@ def _merge_udf(lists: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"starts": [m[0] for m in merged], "ends": [m[1] for m in merged]})
 
 
-def disjoint_lists(intervals: DataFrame, slab_seconds: int = SLAB_SECONDS, branches: int = BRANCHES) -> DataFrame:
+def disjoint_lists(intervals: DataFrame, slab_seconds: int = SLAB_SECONDS, fan_in: int = FAN_IN) -> DataFrame:
     """The aggregate: entity, slab, starts, ends, where a slab's list has the sorted disjoint intervals that start in it.
 
-    intervals: entity STRING, s LONG, e LONG with s < e. Every partition first merges what it holds of an (entity, slab);
-    the partial lists are then combined in a tree of two levels. Merging is associative and commutative, so the result
-    doesn't depend on the partitions.
+    intervals: entity STRING, s LONG, e LONG with s < e. Every partition first merges what it holds of an (entity, slab).
+    The partial lists go through a tree whose depth follows the number of partitions: at each level those of `fan_in`
+    neighbouring partitions are merged, at the last one all that are left. Merging is associative and commutative, so the
+    result doesn't depend on the partitions.
     """
     rows = intervals.select("entity", F.floor(F.col("s") / slab_seconds).alias("slab"), "s", "e")
-    partial = rows.mapInPandas(_partial, "entity string, slab long, starts array<long>, ends array<long>")
+    leaves = rows.rdd.getNumPartitions()
+    partial = rows.mapInPandas(_partial, "entity string, slab long, starts array<long>, ends array<long>").withColumn("leaf", F.spark_partition_id())
 
     def level(df: DataFrame, *by: str) -> DataFrame:
         lists = df.groupBy(*by).agg(F.collect_list(F.struct("starts", "ends")).alias("lists"))
         return lists.select(*by, _merge_udf("lists").alias("m")).select(*by, "m.starts", "m.ends")
 
-    branch = partial.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(branches)))
-    return level(level(branch, "entity", "slab", "branch"), "entity", "slab")
+    while leaves > fan_in:
+        leaves = -(-leaves // fan_in)
+        partial = level(partial.withColumn("leaf", F.floor(F.col("leaf") / fan_in)), "entity", "slab", "leaf")
+    return level(partial, "entity", "slab")
 
 
 def _rows(kind: str, start: Column, end: Column) -> Column:

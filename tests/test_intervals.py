@@ -2,6 +2,7 @@ import numpy as np
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stratagraph.operators import intervals
 
@@ -50,6 +51,21 @@ def test_against_brute_force(spark):
     assert got == sorted(((k, *x) for k, v in want.items() for x in v), key=lambda t: tuple((True, str(x)) for x in t))
 
 
+def test_the_tree_of_many_partitions(spark, monkeypatch):
+    """Three levels, and partitions that let go of what they hold more than once."""
+    r = np.random.default_rng(5)
+    spans = [(int(s), int(s + n)) for s, n in zip(r.integers(0, 40_000, 900), r.integers(1, 30, 900), strict=True)]
+    df = spark.createDataFrame([("hot", s, e) for s, e in spans], "entity string, s long, e long").repartition(30)
+    got = rows(intervals.periods_and_gaps(intervals.disjoint_lists(df, slab_seconds=10_000, fan_in=4)), "kind", "from_s", "to_s")
+    assert got == expected(spans)
+    monkeypatch.setattr(intervals, "HELD", 10)
+    pdf = df.withColumn("slab", F.lit(0)).toPandas()
+    parts = list(intervals._partial(pdf.iloc[i : i + 50] for i in range(0, 900, 50)))
+    assert len(parts) > 1
+    s, e = intervals.merge_lists([(np.asarray(x.starts[0]), np.asarray(x.ends[0])) for x in parts])
+    assert list(zip(s.tolist(), e.tolist(), strict=True)) == brute(spans)
+
+
 def test_dirty_rows(spark):
     nan = float("nan")
     claims = [
