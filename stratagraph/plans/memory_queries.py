@@ -504,7 +504,7 @@ SQL = {
         SELECT chunk_id, CAST(len(t) AS INT) AS n_chars, sha256(t) AS h FROM b""",
     "q_delta": _DELTA + "SELECT project, path, kind FROM d",
     "q_reingest_paths": _DELTA + """, x AS (SELECT project || '/' || path AS path, 0 AS l FROM d WHERE kind = 'changed' UNION ALL SELECT project || '/' || path, 1 FROM v WHERE back = 0 AND gen = 'true')
-        SELECT path, CAST(row_number() OVER (ORDER BY l, path) AS INT) AS position FROM (SELECT path, min(l) AS l FROM x GROUP BY path)""",
+        SELECT path, row_number() OVER (ORDER BY l, path) AS position FROM (SELECT path, min(l) AS l FROM x GROUP BY path)""",
     "q_health_check": _ORDER + """, n AS (SELECT DISTINCT g.project, idx, o.n, label, node_key FROM graph_nodes g JOIN o USING (project, head_sha)),
         p AS (SELECT project, count(*) FILTER (idx = 1 AND label = 'File') AS prior_files, count(*) FILTER (idx = n AND label = 'File') AS files, count(*) FILTER (idx = n AND label = 'Symbol') AS symbols FROM n GROUP BY project)
         SELECT *, files > 1.2 * prior_files AND symbols < 0.5 * files AND symbols > 0 AS rebuild FROM p""",

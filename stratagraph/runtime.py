@@ -59,7 +59,7 @@ def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
     starts = dict(zip(sorted(sizes), accumulate([0, *[sizes[p] for p in sorted(sizes)]]), strict=False))
     before = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("_p")) if starts else F.lit(0)
     # monotonically_increasing_id counts up from 0 within a partition in its lower 33 bits.
-    return at.withColumn(name, (before + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("_p", "_i")
+    return at.withColumn(name, (before + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("_p", "_i")
 
 
 def spread(scan: DataFrame) -> DataFrame:
