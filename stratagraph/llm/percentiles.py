@@ -3,6 +3,7 @@
 Values stay where they are, as sorted arrays per partition and group. In each round every array proposes the median of
 what is left of it, the weighted median of the proposals becomes the pivot of its group and target rank, the arrays are
 counted three ways against it, and the ranges that are ruled out are discarded; all groups and ranks share the rounds.
+Groups of every size go the same way.
 """
 
 from __future__ import annotations
@@ -11,13 +12,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.runtime import cut
 
-#: Values of one sorted array at most, and values left of a range from which they are simply sorted.
-ARRAY, FEW = 65_536, 2_048
+#: Values of one sorted array at most, and partitions whose counts and proposals are combined at once.
+ARRAY, FAN_IN = 65_536, 256
+#: Open targets (of some 40 bytes each) that are broadcast; more of them are joined by a shuffle.
+BROADCAST_TARGETS = 500_000
+#: Rounds after which what is ruled out is taken out of the arrays.
+TRIM = 4
 #: Ranks of a ladder: a group's summary is the values at so many even ranks and its ends.
 RUNGS = 200
 #: The percentiles asked for.
@@ -53,49 +59,69 @@ def _arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out(list(sizes))
 
 
-def _median(x: np.ndarray, lo: int, hi: int) -> tuple[float, int]:
-    """Lower median of x[lo:hi] and how many values there are."""
-    return (float(x[(lo + hi - 1) // 2]), hi - lo) if hi > lo else (float("nan"), 0)
+_STATS = "g string, part int, t int, lt long, eq long, gt long, m_lt double, m_gt double"
+_STAT_NAMES = ["g", "part", "t", "lt", "eq", "gt", "m_lt", "m_gt"]
 
 
-_STATS = "g string, t int, lt long, eq long, gt long, m_lt double, m_gt double, few array<double>"
+def _range(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values strictly between lo and hi (NaN: without bound) begin and end in the sorted array x, for each target."""
+    a = np.where(np.isnan(lo), 0, np.searchsorted(x, lo, "right"))
+    return a, np.maximum(a, np.where(np.isnan(hi), len(x), np.searchsorted(x, hi, "left")))
 
 
-def _count(few: int):  # noqa: ANN202
-    """Per array and open target: the three-way count within its range, proposals for both sides, and the values if few are left."""
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The numbers of each row of a list column, without a copy."""
+    x, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [x[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for g, xs, targets in zip(pdf["g"], pdf["xs"], pdf["targets"], strict=True):
-                x = np.asarray(xs, np.float64)
-                for t in targets:
-                    # The range is open: values strictly between lo and hi.
-                    a = 0 if t["lo"] is None else int(np.searchsorted(x, t["lo"], "right"))
-                    b = len(x) if t["hi"] is None else int(np.searchsorted(x, t["hi"], "left"))
-                    if b <= a:
-                        continue
-                    if t["left"] <= few:
-                        out.append((g, t["t"], 0, 0, 0, float("nan"), float("nan"), x[a:b]))
-                        continue
-                    c, d = (int(np.clip(np.searchsorted(x, t["pivot"], s), a, b)) for s in ("left", "right"))
-                    out.append((g, t["t"], c - a, d - c, b - d, _median(x, a, c)[0], _median(x, d, b)[0], None))
-            yield pd.DataFrame(out, columns=["g", "t", "lt", "eq", "gt", "m_lt", "m_gt", "few"])
 
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per array and open target: the three-way count within its range, and the medians of both sides as proposals."""
+    for batch in batches:
+        rows, found = [np.array([], np.int64)], [np.empty((4, 0), np.int64)]
+        proposals = [np.empty((2, 0))]
+        columns = [_lists(batch.column(c)) for c in ("xs", "t", "lo", "hi", "pivot")]
+        for row, (x, t, lo, hi, pivot) in enumerate(zip(*columns, strict=True)):
+            a, b = _range(x, lo, hi)
+            c, d = (np.minimum(np.maximum(np.searchsorted(x, pivot, s), a), b) for s in ("left", "right"))
+            rows.append(np.full(len(t), row))
+            found.append(np.stack((t, c - a, d - c, b - d)))
+            proposals.append(np.stack((np.where(c > a, x[np.maximum(a + c - 1, 0) // 2], np.nan), np.where(b > d, x[np.minimum((d + b - 1) // 2, len(x) - 1)], np.nan))))
+        row, (t, lt, eq, gt), (m_lt, m_gt) = np.concatenate(rows), np.concatenate(found, 1), np.concatenate(proposals, 1)
+        some = np.flatnonzero(lt + eq + gt)
+        at = pa.array(row[some])
+        numbers = [t[some].astype(np.int32), lt[some], eq[some], gt[some], m_lt[some], m_gt[some]]
+        yield pa.RecordBatch.from_arrays([batch.column("g").take(at), batch.column("part").take(at), *map(pa.array, numbers)], _STAT_NAMES)
 
 
-def _weighted_median(value: str, weight: str) -> Column:
-    """The weighted lower median of the proposals of a group, as an aggregate."""
-    proposals = F.sort_array(F.collect_list(F.when((F.col(weight) > 0), F.struct(F.col(value).alias("v"), F.col(weight).alias("w")))))
-    half = F.floor((F.sum(weight) + 1) / 2)
+def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The arrays without the values that no open target's range has; arrays without such values end here."""
+    for batch in batches:
+        kept = []
+        for x, lo, hi in zip(*[_lists(batch.column(c)) for c in ("xs", "lo", "hi")], strict=True):
+            a, b = _range(x, lo, hi)
+            inside = np.zeros(len(x) + 1, np.int64)
+            np.add.at(inside, a, 1)
+            np.add.at(inside, b, -1)
+            kept.append(x[np.cumsum(inside)[:-1] > 0])
+        some = [i for i, x in enumerate(kept) if len(x)]
+        at = pa.array(some, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("g").take(at), batch.column("part").take(at), pa.array([kept[i] for i in some], pa.list_(pa.float64()))], ["g", "part", "xs"])
 
-    def walk(s: Column, x: Column) -> Column:
-        reached = s["v"].isNull() & (s["upto"] + x["w"] >= s["half"])
-        return F.struct((s["upto"] + x["w"]).alias("upto"), s["half"].alias("half"), F.when(reached, x["v"]).otherwise(s["v"]).alias("v"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("upto"), half.cast("long").alias("half"), F.lit(None).cast("double").alias("v"))
-    return F.aggregate(proposals, begin, walk, lambda s: s["v"])
+def _weighted_median(value: str, weight: str) -> str:
+    """The weighted lower median of the proposals of a group, as SQL of an aggregate (one call to the JVM instead of dozens a round)."""
+    return f"""aggregate(sort_array(collect_list(if({weight} > 0, struct({value} as v, {weight} as w), null))),
+        named_struct('upto', 0L, 'half', (sum({weight}) + 1) div 2, 'v', cast(null as double)),
+        (s, x) -> named_struct('upto', s.upto + x.w, 'half', s.half, 'v', if(s.v is null and s.upto + x.w >= s.half, x.v, s.v)), s -> s.v)"""
+
+
+_COMBINED = ("sum(lt) as lt", "sum(eq) as eq", "sum(gt) as gt", _weighted_median("m_lt", "lt") + " as m_lt", _weighted_median("m_gt", "gt") + " as m_gt")
+# What a round leaves of a target: with its rank at or below lt the lower side, above lt + eq the upper one, else the pivot is it.
+_AFTER = (
+    "g", "t", "rank", "if(k <= lt, k, k - lt - eq) as k", "if(k <= lt, lo, pivot) as lo", "if(k <= lt, pivot, hi) as hi",
+    "if(k <= lt, m_lt, m_gt) as pivot", "if(k > lt and k <= lt + eq, pivot, null) as value",
+)
 
 
 def _rank(n: Column, percent: float) -> Column:
@@ -103,57 +129,60 @@ def _rank(n: Column, percent: float) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.expr("cast(0 as bigint)") + F.call_function("div", n * F.lit(round(percent * 1000)).cast("long") + F.lit(99_999), F.lit(100_000).cast("long")))
 
 
+def _with_targets(arrays: DataFrame, state: DataFrame, salts: int, few: bool) -> DataFrame:
+    """Arrays beside the open targets of their group: t, lo, hi, pivot as arrays. Targets are broadcast if they are few."""
+    targets = state.groupBy("g").agg(F.expr("sort_array(collect_list(struct(t, lo, hi, pivot)))").alias("o")).selectExpr("g", "o.t", "o.lo", "o.hi", "o.pivot", f"explode(sequence(0, {salts - 1})) as salt")
+    return arrays.selectExpr("*", f"pmod(part, {salts}) as salt").join(F.broadcast(targets) if few else targets, ["g", "salt"])
+
+
+def round_stats(met: DataFrame, parts: int) -> DataFrame:
+    """g, t, lt, eq, gt, m_lt, m_gt over all arrays: counts added up, proposals joined by their weighted medians.
+
+    Arrays of up to FAN_IN partitions are combined at once, more of them in levels; a weighted median of weighted medians
+    still rules out a fixed share of what is left.
+    """
+    stats = met.select("g", "part", "xs", "t", "lo", "hi", "pivot").mapInArrow(_count, _STATS)
+
+    combined = [F.expr(c) for c in _COMBINED]
+    while parts > FAN_IN:
+        parts = -(-parts // FAN_IN)
+        stats = stats.selectExpr("g", "t", f"part div {FAN_IN} as part", "lt", "eq", "gt", "m_lt", "m_gt").groupBy("g", "t", "part").agg(*combined)
+    return stats.groupBy("g", "t").agg(*combined)
+
+
 def multi_select(values: DataFrame, percents: Sequence[float] = PERCENTS, rungs: int = 0) -> DataFrame:
     """g, t, rank, n, value: the exact value at each asked rank of each group.
 
     values: g STRING, x DOUBLE without null and NaN. t < len(percents) is a percentile by the nearest-rank rule; with
-    rungs > 0, t from len(percents) on are the ranks 1 and ceil(n * i / rungs) of a ladder. Rounds end when all ranks are
-    found, which takes about log(n / FEW) of them; a group of at most FEW values is sorted at once. Equal values are
-    counted, not told apart, so ties end a search early. A hot group is as many arrays as partitions hold of it.
+    rungs > 0, t from len(percents) on are the ranks 1 and ceil(n * i / rungs) of a ladder. Ranks that several t ask for are
+    searched once. Rounds end when all ranks are found, which takes about log(n) of them. Equal values are counted, not told
+    apart, so ties end a search early. A hot group is as many arrays as partitions hold of it. An empty input gives none.
     """
-    arrays = cut(values.select("g", "x").mapInPandas(_arrays, "g string, xs array<double>"))
-    middle = F.element_at("xs", F.floor((F.size("xs") + 1) / 2).cast("int"))
-    sizes = arrays.select("g", F.size("xs").cast("long").alias("w"), middle.alias("m")).groupBy("g").agg(F.sum("w").alias("n"), _weighted_median("m", "w").alias("pivot"))
+    arrays = cut(values.select("g", "x").mapInPandas(_arrays, "g string, xs array<double>").withColumn("part", F.spark_partition_id()))
+    parts = arrays.rdd.getNumPartitions()
+    salts = -(-parts // FAN_IN)
     n = F.col("n")
     ranks = [_rank(n, p) for p in percents] + ([F.lit(1).cast("long"), *(F.call_function("div", n * i + (rungs - 1), F.lit(rungs).cast("long")) for i in range(1, rungs + 1))] if rungs else [])
-    groups = cut(sizes.select("g", "n", "pivot", F.array(*ranks).alias("ks")))
-
-    small = arrays.join(groups.where(n <= FEW).select("g"), "g", "left_semi").groupBy("g").agg(F.sort_array(F.flatten(F.collect_list("xs"))).alias("xs"))
-    done = [small.join(groups, "g").select("g", F.posexplode("ks").alias("t", "rank"), "n", "xs").select("g", "t", "rank", "n", F.element_at("xs", F.col("rank").cast("int")).alias("value"))]
-
-    many = groups.where(n > FEW).select("g", "n", "pivot", F.posexplode("ks").alias("t", "rank"))
-    state = cut(many.select("g", "t", "rank", "n", F.col("rank").alias("k"), n.alias("left"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), "pivot", F.lit(None).cast("double").alias("value")))
-    large = None
-    while state.limit(1).count():
-        if large is None:
-            large = cut(arrays.join(groups.where(n > FEW).select("g"), "g", "left_semi"))
-        targets = state.groupBy("g").agg(F.collect_list(F.struct("t", "lo", "hi", "left", "pivot")).alias("targets"))
-        stats = large.join(targets, "g").mapInPandas(_count(FEW), _STATS)
-        summed = stats.groupBy("g", "t").agg(
-            *[F.sum(c).alias(c) for c in ("lt", "eq", "gt")], _weighted_median("m_lt", "lt").alias("p_lt"), _weighted_median("m_gt", "gt").alias("p_gt"),
-            F.sort_array(F.flatten(F.collect_list("few"))).alias("few"),
-        )
-        k, below, upto = F.col("k"), F.col("lt"), F.col("lt") + F.col("eq")
-        few = F.col("left") <= FEW
-        here = ~few & (k > below) & (k <= upto)
-        lower = k <= below
-        state = cut(
-            state.join(summed, ["g", "t"]).select(
-                "g", "t", "rank", "n",
-                F.when(lower, k).otherwise(k - upto).alias("k"),
-                F.when(lower, below).otherwise(F.col("gt")).alias("left"),
-                F.when(lower, F.col("lo")).otherwise(F.col("pivot")).alias("lo"),
-                F.when(lower, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
-                F.when(lower, F.col("p_lt")).otherwise(F.col("p_gt")).alias("pivot"),
-                F.when(few, F.expr("get(few, cast(k - 1 as int))")).when(here, F.col("pivot")).alias("value"),
-            )
-        )
-        done.append(state.where("value is not null").select("g", "t", "rank", "n", "value"))
-        state = state.where("value is null")
-    result = done[0]
+    wanted = cut(arrays.groupBy("g").agg(F.sum(F.size("xs").cast("long")).alias("n")).select("g", "n", F.posexplode(F.array(*ranks)).alias("t", "rank")))
+
+    # The first pivot is below all values: its round only asks every array for its median.
+    unbounded = F.lit(float("nan"))
+    state = cut(wanted.groupBy("g", "rank").agg(F.min("t").alias("t")).select("g", "t", "rank", F.col("rank").alias("k"), unbounded.alias("lo"), unbounded.alias("hi"), F.lit(float("-inf")).alias("pivot"), F.lit(None).cast("double").alias("value")))
+    done, rounds = [state.where("value is not null").select("g", "rank", "value")], 0
+    while open_ := state.count():
+        few = open_ * salts <= BROADCAST_TARGETS
+        met = _with_targets(arrays, state, salts, few)
+        if rounds and rounds % TRIM == 0:
+            arrays = cut(met.select("g", "part", "xs", "lo", "hi").mapInArrow(_trim, "g string, part int, xs array<double>"))
+            met = _with_targets(arrays, state, salts, few)
+        rounds += 1
+        after = cut(state.join(round_stats(met, parts), ["g", "t"]).selectExpr(*_AFTER))
+        done.append(after.where("value is not null").select("g", "rank", "value"))
+        state = after.where("value is null")
+    found = done[0]
     for d in done[1:]:
-        result = result.unionByName(d)
-    return result
+        found = found.unionByName(d)
+    return wanted.join(found, ["g", "rank"]).select("g", "t", "rank", "n", "value")
 
 
 def ladders(selected: DataFrame, percents: Sequence[float] = PERCENTS) -> DataFrame:

@@ -12,10 +12,11 @@ def nearest(xs, p):
     return sorted(xs)[max(1, -(-len(xs) * p // 100)) - 1]
 
 
-@pytest.mark.parametrize("few", [4, 2048])
-def test_against_sorting(spark, monkeypatch, few):
-    monkeypatch.setattr(percentiles, "FEW", few)
-    monkeypatch.setattr(percentiles, "ARRAY", 64)
+@pytest.mark.parametrize(("array", "fan_in", "trim"), [(64, 256, 4), (7, 2, 1), (65_536, 3, 100)])
+def test_against_sorting(spark, monkeypatch, array, fan_in, trim):
+    monkeypatch.setattr(percentiles, "ARRAY", array)
+    monkeypatch.setattr(percentiles, "FAN_IN", fan_in)
+    monkeypatch.setattr(percentiles, "TRIM", trim)
     r = np.random.default_rng(1)
     groups = {"ties": [5.0] * 300 + [1.0], "tail": list(r.pareto(1, 500)), "one": [7.0], "two": [1.0, 2.0], "modes": [*r.normal(10, 1, 200), *r.normal(99, 1, 100)]}
     df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs], X).repartition(5)
@@ -23,6 +24,16 @@ def test_against_sorting(spark, monkeypatch, few):
     assert got == sorted(((g, float(p), nearest(xs, p), len(xs)) for g, xs in groups.items() for p in percentiles.PERCENTS), key=lambda t: tuple((True, str(x)) for x in t))
 
 
+@pytest.mark.parametrize("n", [3, 90, 3000])
+def test_groups_of_every_size_take_rounds(spark, monkeypatch, n):
+    """Three values take rounds as well as thousands, and their number grows with the logarithm."""
+    rounds, run = [], percentiles.round_stats
+    monkeypatch.setattr(percentiles, "round_stats", lambda *a: rounds.append(1) or run(*a))
+    df = spark.range(n).selectExpr("'g' as g", "cast(id as double) as x").repartition(6)
+    assert rows(percentiles.multi_select(df, (50,)), "value") == [(float(nearest(range(n), 50)),)]
+    assert 2 <= len(rounds) <= 2 + 2.5 * np.log2(n)
+
+
 def test_ladders_combine_within_their_bound(spark, monkeypatch):
     monkeypatch.setattr(percentiles, "RUNGS", 20)
     r = np.random.default_rng(2)
