@@ -1,14 +1,17 @@
 """Evaluation items whose passages appear, whole or in part, in training documents.
 
-One Aho-Corasick automaton over all windows of consecutive words of the normalised items reads every document once. Its
-alphabet are the items' words, not their characters: a document's words become numbers (0 for a word no item has), and
-a match can only begin and end with a word.
+One Aho-Corasick automaton over the normalised items reads every document once. Its alphabet are the items' words, not
+their characters: a document's words become numbers (0 for a word no item has), and a match can only begin and end with a
+word. Its patterns are the items cut into blocks of half a passage: every passage of `n` words holds a whole block, so each
+word of an item is in the automaton once. Where a block is found, the words around it are compared with the item's.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -22,8 +25,9 @@ from stratagraph.runtime import spread
 
 #: Consecutive words that make a leak.
 WORDS = 12
-#: Most words of items in one automaton. A larger set of items is split, and the documents are read once for each part.
-MAX_WORDS = 2_000_000
+#: Most words of items in one automaton (about 140 bytes each in a worker). Beyond it the items are split, with a warning,
+#: and the documents are read once for each part: items are held-out tests, so this is far beyond what is expected.
+MAX_WORDS = 5_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -38,24 +42,32 @@ def words(text: str) -> list[str]:
 
 
 class Leaks:
-    """The automaton over a set of items (id, text); items with fewer than `n` words have no window and match nothing."""
+    """The automaton over a set of items (id, text); items with fewer than `n` words have no passage and match nothing."""
 
     def __init__(self, items: Iterable[tuple[int, str]], n: int = WORDS) -> None:
-        self.n, self.numbers = n, {}
-        windows: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        self.n, self.numbers, self.items, self.ids = n, {}, [], []
+        # A block that begins at a multiple of its length lies whole in every passage of n words.
+        self.size = size = (n + 1) // 2
+        blocks: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for item, text in items:
             ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text or "")]
-            for i in range(len(ids) - n + 1):
-                windows[tuple(ids[i : i + n])].add(item)
+            if len(ids) < n:
+                continue
+            for i in range(0, len(ids) - size + 1, size):
+                blocks[tuple(ids[i : i + size])].append((len(self.items), i))
+            self.items.append(array("I", ids))
+            self.ids.append(item)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, of in windows.items():
-            self.automaton.add_word(key, sorted(of))
-        self.empty = not windows
+        for key, of in blocks.items():
+            self.automaton.add_word(key, of)
+        self.empty = not blocks
         if not self.empty:
             self.automaton.make_automaton()
 
-    def matches(self, found: list[str]) -> Iterator[tuple[int, int]]:
-        """(number of the last word, item) of each window in a document's words."""
+    def matches(self, found: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(item, first, last): the longest runs of at least n words of an item in a document's words, as word positions."""
+        if self.empty:
+            return
         number = self.numbers.get
         known = [number(w, 0) for w in found]
         run = 0
@@ -65,46 +77,81 @@ class Leaks:
                 run += 1
                 continue
             if run >= self.n:
-                begin = i - run
-                for end, items in self.automaton.iter(tuple(known[begin:i])):
-                    for item in items:
-                        yield begin + end, item
+                yield from self._runs(known[i - run : i], i - run)
             run = 0
 
+    def _runs(self, stretch: list[int], begin: int) -> Iterator[tuple[int, int, int]]:
+        upto: dict[tuple[int, int], int] = {}
+        for end, of in self.automaton.iter(tuple(stretch)):
+            first = end - self.size + 1
+            for item, at in of:
+                # Blocks of the same run lie on one diagonal; what was reached there is not compared again.
+                if upto.get((item, first - at), -1) >= end:
+                    continue
+                text, a, b = self.items[item], first, end
+                while a > 0 and at - (first - a) > 0 and stretch[a - 1] == text[at - (first - a) - 1]:
+                    a -= 1
+                while b + 1 < len(stretch) and at + (b - first) + 1 < len(text) and stretch[b + 1] == text[at + (b - first) + 1]:
+                    b += 1
+                upto[item, first - at] = b
+                if b - a + 1 >= self.n:
+                    yield self.ids[item], begin + a, begin + b
+
     def items_in(self, text: str) -> list[int]:
-        return sorted({item for _, item in self.matches(words(text))})
+        return sorted({item for item, _, _ in self.matches(words(text))})
 
     def passages(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, start, end): the longest stretches of the original text that an item's windows cover, end exclusive."""
-        plain, begins, ends = _mapped(text)
+        """(item, start, end): the longest stretches of the original text that an item's passages cover, end exclusive.
+
+        The text is searched as items_in() does; only where something is found are its characters mapped.
+        """
+        plain = normalise(text)
         spans = [m.span() for m in _WORD.finditer(plain)]
         by_item: dict[int, list[list[int]]] = defaultdict(list)
-        for last, item in self.matches([plain[a:b] for a, b in spans]):
+        for item, first, last in sorted(self.matches([plain[a:b] for a, b in spans])):
             held = by_item[item]
-            first = last - self.n + 1
             if held and first <= held[-1][1] + 1:
-                held[-1][1] = last
+                held[-1][1] = max(held[-1][1], last)
             else:
                 held.append([first, last])
+        if not by_item:
+            return []
+        begins, ends = _mapped(text)
         return [(item, begins[spans[a][0]], ends[spans[b][1] - 1]) for item, held in sorted(by_item.items()) for a, b in held]
 
 
-def _mapped(text: str) -> tuple[str, list[int], list[int]]:
-    """The normalised text, and for each of its characters where the characters of the original it comes from begin and end.
-
-    Characters are normalised with the combining marks after them, as these can change together.
-    """
-    out, begins, ends, i = [], [], [], 0
+def _pieces(text: str) -> Iterator[tuple[int, int]]:
+    """Each character with the combining marks after it, as these can change together."""
+    i = 0
     while i < len(text):
         j = i + 1
         while j < len(text) and (unicodedata.combining(text[j]) or "\u1160" <= text[j] <= "\u11ff"):
             j += 1
-        piece = normalise(text[i:j])
-        out.append(piece)
-        begins.extend([i] * len(piece))
-        ends.extend([j] * len(piece))
+        yield i, j
         i = j
-    return "".join(out), begins, ends
+
+
+def _mapped(text: str) -> tuple[list[int], list[int]]:
+    """For each character of normalise(text), where the characters of the original it comes from begin and end.
+
+    Nothing before an ASCII character changes with it, so stretches that begin with one are normalised by themselves. Within
+    a stretch characters are mapped piece by piece, or, where the pieces don't add up to it, all to the whole stretch.
+    """
+    begins: list[int] = []
+    ends: list[int] = []
+    for m in re.finditer(r"[\x00-\x7f]+(?=[\x00-\x7f])|[\x00-\x7f]?[^\x00-\x7f]*", text):
+        at, part = m.start(), m.group()
+        if part.isascii():
+            begins.extend(range(at, at + len(part)))
+            ends.extend(range(at + 1, at + len(part) + 1))
+            continue
+        spans = [(i, j, len(normalise(part[i:j]))) for i, j in _pieces(part)]
+        if sum(n for _, _, n in spans) != len(normalise(part)):
+            spans = [(0, len(part), len(normalise(part)))]
+        for i, j, n in spans:
+            begins.extend([at + i] * n)
+            ends.extend([at + j] * n)
+    return begins, ends
 
 
 def _parts(items: DataFrame) -> list[list[tuple[int, str]]]:
@@ -124,11 +171,14 @@ def _scan(documents: DataFrame, items: DataFrame, n: int, of, schema: T.StructTy
     spark = documents.sparkSession
     rows = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"))
     found = None
-    for part in _parts(items):
-        shared = spark.sparkContext.broadcast(part)
+    for number, part in enumerate(_parts(items)):
+        if number:
+            warnings.warn(f"more than {MAX_WORDS} words of items: the documents are read once more", stacklevel=3)
+        # Built once and sent as it is; a Python worker unpacks it once and keeps it for all its tasks.
+        shared = spark.sparkContext.broadcast(Leaks(part, n))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            leaks = Leaks(shared.value, n)
+            leaks = shared.value
             for pdf in batches:
                 if not leaks.empty:
                     yield pd.DataFrame([(d, *x) for d, text in zip(pdf.doc_id, pdf.text, strict=True) for x in of(leaks, text)], columns=schema.names)
