@@ -73,6 +73,56 @@ def test_long_lists_are_split(spark, monkeypatch):
     assert len(want - got) <= 0.03 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
+def test_lists_within_lists(spark, monkeypatch):
+    """Two centroids at the first level and lists of at most 60 rows: the second level takes over and loses nothing."""
+    monkeypatch.setattr(similar, "MAX_LISTS", 2)
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 60)
+    data = [("a", f"{i:04}", [float(x) for x in v]) for i, v in enumerate(clustered(6, 150, 8, 6))]
+    df = spark.createDataFrame(data, V)
+    index = similar.build_index(df.mapInArrow(similar._units(8), "space string, id string, vec binary"), {"a": len(data)}, 8, 3)["a"]
+    assert len(index.centroids) == 2 and len(index.split) == 2 and len(index.parts) >= 20
+    got, want = set(rows(similar.similar_pairs(similar.neighbours(df, k=3, dim=8)))), exact(data, 3, 0.85)
+    assert len(want - got) <= 0.03 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
+def test_a_ball_that_no_centroid_parts(spark, monkeypatch):
+    """Vectors all near to each other: lists in several parts, queries in several blocks, and the distance shrinks."""
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(similar, "BLOCK_QUERIES", 1)
+    monkeypatch.setattr(similar, "MAX_SPLIT", 1)
+    r = np.random.default_rng(8)
+    data = [("a", f"{i:04}", [float(x) for x in 1 + r.standard_normal(8) * 0.1]) for i in range(400)]
+    df = spark.createDataFrame(data, V)
+    index = similar.build_index(df.mapInArrow(similar._units(8), "space string, id string, vec binary"), {"a": len(data)}, 8, 3)["a"]
+    assert index.parts.max() > 1 and index.blocks.max() > 1
+    got, want = set(rows(similar.similar_pairs(similar.neighbours(df, k=3, dim=8, nprobe=100)))), exact(data, 3, 0.85)
+    assert got == want
+
+
+@pytest.mark.parametrize("n", [similar.HEAVY - 1, similar.HEAVY, similar.HEAVY + 1])
+@pytest.mark.parametrize("groups", [0, 50_000])
+def test_copies_around_the_threshold(spark, monkeypatch, n, groups):
+    """Groups of copies give the same pairs below, at and above HEAVY, with joins by broadcast and by salts."""
+    monkeypatch.setattr(similar, "BROADCAST_GROUPS", groups)
+    data = [("s", f"c{i:03}", [1.0, 2.0, 0.0, 1.0]) for i in range(n)] + [("s", "a", [1.0, 2.1, 0.0, 1.0]), ("s", "z", [1.0, 2.2, 0.0, 1.0])]
+    assert set(rows(similar.similar_pairs(similar.neighbours(spark.createDataFrame(data, V), k=2, dim=4)))) == exact(data, 2, 0.85)
+
+
+def test_without_a_least_cosine_the_distance_shrinks(spark):
+    """The k most similar of every vector, however far they are, and far fewer pairs than there are reach the last columns."""
+    data = [("a", f"{i:04}", [float(x) for x in v]) for i, v in enumerate(clustered(9, 200, 32, 3))]
+    got = set(rows(similar.similar_pairs(similar.neighbours(spark.createDataFrame(data, V), k=2, dim=32, min_cosine=-1, nprobe=100))))
+    want = exact(data, 2, -1)
+    assert len(want - got) <= 0.02 * len(want) and len(got - want) <= 0.02 * len(want)
+    x = np.array([v[2] for v in data], np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = similar.Nearest(np.arange(600), 2, 4.0)
+    i, j, d = similar.scan(x, x[:256], 4.0)
+    found.add(i[i != j], j[i != j], d[i != j])
+    later = similar.scan(x, x[256:], found.limit)[0]
+    assert len(i) == 600 * 256 and len(later) < 0.3 * 600 * 344
+
+
 def test_scan_drops_nothing_within_the_limit():
     r = np.random.default_rng(0)
     x = r.standard_normal((400, 64))
