@@ -3,7 +3,8 @@
 Values stay where they are, as sorted arrays per partition and group. In each round every array proposes the median of
 what is left of it, the weighted median of the proposals becomes the pivot of its group and target rank, the arrays are
 counted three ways against it, and the ranges that are ruled out are discarded; all groups and ranks share the rounds.
-Groups of every size go the same way.
+Groups of every size take these rounds. Those whose arrays fit into one task are taken through them there; of larger ones
+only counts and proposals are sent, and each round is a job.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.runtime import cut
+from stratagraph.runtime import bounded_broadcast, cut
 
 #: Values of one sorted array at most, and partitions whose counts and proposals are combined at once.
 ARRAY, FAN_IN = 65_536, 256
+#: Values of a group whose arrays are brought into one task.
+TOGETHER = 65_536
 #: Open targets (of some 40 bytes each) that are broadcast; more of them are joined by a shuffle.
 BROADCAST_TARGETS = 500_000
 #: Rounds after which what is ruled out is taken out of the arrays.
@@ -75,6 +78,51 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
     return [x[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def _three_way(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per target how many values of its range are below, at and above its pivot, and the lower medians of both sides (NaN if empty)."""
+    a, b = _range(x, lo, hi)
+    c, d = (np.minimum(np.maximum(np.searchsorted(x, pivot, s), a), b) for s in ("left", "right"))
+    return c - a, d - c, b - d, np.where(c > a, x[np.maximum(a + c - 1, 0) // 2], np.nan), np.where(b > d, x[np.minimum((d + b - 1) // 2, len(x) - 1)], np.nan)
+
+
+def _weighted_medians(m: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Per column the weighted lower median of proposals m with weights w; NaN where all weights are 0."""
+    order = np.argsort(m, axis=0, kind="stable")
+    upto = np.cumsum(np.take_along_axis(w, order, 0), 0)
+    at = np.argmax(upto >= np.maximum(1, (upto[-1] + 1) // 2), 0)
+    return np.take_along_axis(np.take_along_axis(m, order, 0), at[None, :], 0)[0]
+
+
+def select_together(arrays: list[np.ndarray], ranks: np.ndarray) -> tuple[np.ndarray, int]:
+    """The values at the ranks (from 1) of all arrays together, each of which is sorted, and the number of rounds."""
+    t = np.arange(len(ranks))
+    k, lo, hi, pivot = ranks.copy(), np.full(len(t), np.nan), np.full(len(t), np.nan), np.full(len(t), -np.inf)
+    values, rounds = np.empty(len(t)), 0
+    while len(t):
+        rounds += 1
+        lt, eq, gt, m_lt, m_gt = (np.stack(c) for c in zip(*(_three_way(x, lo, hi, pivot) for x in arrays), strict=True))
+        p_lt, p_gt = _weighted_medians(m_lt, lt), _weighted_medians(m_gt, gt)
+        below, upto = lt.sum(0), lt.sum(0) + eq.sum(0)
+        lower, here = k <= below, (k > below) & (k <= upto)
+        values[t[here]] = pivot[here]
+        k, lo, hi, pivot = np.where(lower, k, k - upto), np.where(lower, lo, pivot), np.where(lower, pivot, hi), np.where(lower, p_lt, p_gt)
+        t, k, lo, hi, pivot = (c[~here] for c in (t, k, lo, hi, pivot))
+    return values, rounds
+
+
+def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """g, rank, value of groups whose arrays are together: g, ranks, arrays."""
+    for batch in batches:
+        rows, ranks = [np.array([], np.int64)], [np.array([], np.int64)]
+        values = [np.array([])]
+        inner = batch.column("arrays").values
+        parts, at = _lists(inner), batch.column("arrays").offsets.to_numpy()
+        for row, wanted in enumerate(_lists(batch.column("ranks"))):
+            rows.append(np.full(len(wanted), row)), ranks.append(wanted)
+            values.append(select_together(parts[at[row] : at[row + 1]], wanted)[0])
+        yield pa.RecordBatch.from_arrays([batch.column("g").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(ranks)), pa.array(np.concatenate(values))], ["g", "rank", "value"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per array and open target: the three-way count within its range, and the medians of both sides as proposals."""
     for batch in batches:
@@ -82,11 +130,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         proposals = [np.empty((2, 0))]
         columns = [_lists(batch.column(c)) for c in ("xs", "t", "lo", "hi", "pivot")]
         for row, (x, t, lo, hi, pivot) in enumerate(zip(*columns, strict=True)):
-            a, b = _range(x, lo, hi)
-            c, d = (np.minimum(np.maximum(np.searchsorted(x, pivot, s), a), b) for s in ("left", "right"))
-            rows.append(np.full(len(t), row))
-            found.append(np.stack((t, c - a, d - c, b - d)))
-            proposals.append(np.stack((np.where(c > a, x[np.maximum(a + c - 1, 0) // 2], np.nan), np.where(b > d, x[np.minimum((d + b - 1) // 2, len(x) - 1)], np.nan))))
+            lt, eq, gt, m_lt, m_gt = _three_way(x, lo, hi, pivot)
+            rows.append(np.full(len(t), row)), found.append(np.stack((t, lt, eq, gt))), proposals.append(np.stack((m_lt, m_gt)))
         row, (t, lt, eq, gt), (m_lt, m_gt) = np.concatenate(rows), np.concatenate(found, 1), np.concatenate(proposals, 1)
         some = np.flatnonzero(lt + eq + gt)
         at = pa.array(row[some])
@@ -155,21 +200,27 @@ def multi_select(values: DataFrame, percents: Sequence[float] = PERCENTS, rungs:
 
     values: g STRING, x DOUBLE without null and NaN. t < len(percents) is a percentile by the nearest-rank rule; with
     rungs > 0, t from len(percents) on are the ranks 1 and ceil(n * i / rungs) of a ladder. Ranks that several t ask for are
-    searched once. Rounds end when all ranks are found, which takes about log(n) of them. Equal values are counted, not told
+    searched once. Groups of up to TOGETHER values take their rounds in one task (select_together()). Rounds end when all ranks are found, which takes about log(n) of them. Equal values are counted, not told
     apart, so ties end a search early. A hot group is as many arrays as partitions hold of it. An empty input gives none.
     """
     arrays = cut(values.select("g", "x").mapInPandas(_arrays, "g string, xs array<double>").withColumn("part", F.spark_partition_id()))
     parts = arrays.rdd.getNumPartitions()
-    salts = -(-parts // FAN_IN)
+    salts, most = -(-parts // FAN_IN), len(percents) + (rungs + 1 if rungs else 0)
     n = F.col("n")
     ranks = [_rank(n, p) for p in percents] + ([F.lit(1).cast("long"), *(F.call_function("div", n * i + (rungs - 1), F.lit(rungs).cast("long")) for i in range(1, rungs + 1))] if rungs else [])
-    wanted = cut(arrays.groupBy("g").agg(F.sum(F.size("xs").cast("long")).alias("n")).select("g", "n", F.posexplode(F.array(*ranks)).alias("t", "rank")))
+    groups = cut(arrays.groupBy("g").agg(F.sum(F.size("xs").cast("long")).alias("n")).select("g", "n", F.array(*ranks).alias("ks")))
+    wanted = groups.select("g", "n", F.posexplode("ks").alias("t", "rank"))
+    few = bounded_broadcast(groups.select("g", F.array_distinct("ks").alias("ranks"), "n"), BROADCAST_TARGETS // most)
+    together = arrays.join(few.where(F.col("n") <= TOGETHER), "g").groupBy("g").agg(F.first("ranks").alias("ranks"), F.collect_list("xs").alias("arrays"))
+    in_tasks = together.mapInArrow(_select, "g string, rank long, value double")
 
     # The first pivot is below all values: its round only asks every array for its median.
-    unbounded = F.lit(float("nan"))
-    state = cut(wanted.groupBy("g", "rank").agg(F.min("t").alias("t")).select("g", "t", "rank", F.col("rank").alias("k"), unbounded.alias("lo"), unbounded.alias("hi"), F.lit(float("-inf")).alias("pivot"), F.lit(None).cast("double").alias("value")))
-    done, rounds = [state.where("value is not null").select("g", "rank", "value")], 0
+    unbounded, large = F.lit(float("nan")), groups.where(n > TOGETHER).select("g")
+    state = cut(wanted.where(n > TOGETHER).groupBy("g", "rank").agg(F.min("t").alias("t")).select("g", "t", "rank", F.col("rank").alias("k"), unbounded.alias("lo"), unbounded.alias("hi"), F.lit(float("-inf")).alias("pivot"), F.lit(None).cast("double").alias("value")))
+    done, rounds = [in_tasks], 0
     while open_ := state.count():
+        if not rounds:
+            arrays = cut(arrays.join(bounded_broadcast(large), "g", "left_semi"))
         few = open_ * salts <= BROADCAST_TARGETS
         met = _with_targets(arrays, state, salts, few)
         if rounds and rounds % TRIM == 0:

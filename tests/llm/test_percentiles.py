@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 from conftest import SF, rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from oracle import compare, connect
 from stratagraph.llm import percentiles, queries
@@ -8,12 +10,21 @@ from stratagraph.llm import percentiles, queries
 X = "g string, x double"
 
 
+@given(st.lists(st.lists(st.sampled_from([-2.5, 0.0, 1.0, 1.5, 7.0, float("inf"), float("-inf")]), min_size=1, max_size=12), min_size=1, max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_selecting_in_a_task(lists):
+    every = np.sort(np.concatenate(lists))
+    values, _ = percentiles.select_together([np.sort(np.array(x)) for x in lists], np.arange(1, len(every) + 1))
+    assert values.tolist() == every.tolist()
+
+
 def nearest(xs, p):
     return sorted(xs)[max(1, -(-len(xs) * p // 100)) - 1]
 
 
-@pytest.mark.parametrize(("array", "fan_in", "trim"), [(64, 256, 4), (7, 2, 1), (65_536, 3, 100)])
-def test_against_sorting(spark, monkeypatch, array, fan_in, trim):
+@pytest.mark.parametrize(("array", "fan_in", "trim", "together"), [(64, 256, 4, 0), (7, 2, 1, 1), (65_536, 3, 100, 300), (64, 256, 4, 65_536)])
+def test_against_sorting(spark, monkeypatch, array, fan_in, trim, together):
+    monkeypatch.setattr(percentiles, "TOGETHER", together)
     monkeypatch.setattr(percentiles, "ARRAY", array)
     monkeypatch.setattr(percentiles, "FAN_IN", fan_in)
     monkeypatch.setattr(percentiles, "TRIM", trim)
@@ -26,7 +37,11 @@ def test_against_sorting(spark, monkeypatch, array, fan_in, trim):
 
 @pytest.mark.parametrize("n", [3, 90, 3000])
 def test_groups_of_every_size_take_rounds(spark, monkeypatch, n):
-    """Three values take rounds as well as thousands, and their number grows with the logarithm."""
+    """Three values take rounds as well as thousands, in a task or as jobs, and their number grows with the logarithm."""
+    parts = [np.arange(i, n, 7.0) for i in range(min(7, n))]
+    values, taken = percentiles.select_together(parts, np.array([1, (n + 1) // 2, n]))
+    assert values.tolist() == [0, (n + 1) // 2 - 1, n - 1] and 2 <= taken <= 2 + 2.5 * np.log2(n)
+    monkeypatch.setattr(percentiles, "TOGETHER", 0)
     rounds, run = [], percentiles.round_stats
     monkeypatch.setattr(percentiles, "round_stats", lambda *a: rounds.append(1) or run(*a))
     df = spark.range(n).selectExpr("'g' as g", "cast(id as double) as x").repartition(6)
