@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows a table may have to be broadcast; beyond it the join is left to a shuffle.
 BROADCAST_ROWS = 200_000
+#: Tasks over which the rows of one key are spread in a salted join.
+SALTS = 16
 
 
 def local_session(app: str = "stratagraph", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -32,12 +34,14 @@ def local_session(app: str = "stratagraph", cores: int | str = "*", partitions:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; a folder of our own only where none is set."""
+    """Use the shared folder named by spark.checkpoint.dir; a folder of our own only where none is set and all is one machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = os.path.join(tempfile.gettempdir(), f"stratagraph-checkpoint-{os.getuid()}")
         os.makedirs(shared, exist_ok=True)
     context.setCheckpointDir(shared)
@@ -71,6 +75,17 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """left joined with right on keys, for a left side of which one key may hold a third of all rows.
+
+    The rows of a key are spread over `salts` tasks by a hash of the columns `by`, and right, which has few rows of each key, is
+    repeated as often. how: inner, left, left_semi or left_anti.
+    """
+    many = left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    each = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.join(each, [*keys, "_salt"], how).drop("_salt")
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if df has been counted to be small enough, else df as it is.
 
