@@ -51,10 +51,10 @@ class Memory:
         return graph.injectors(*self.graph[:2], self._names(token))
 
     def importers(self, module: str) -> DataFrame:
-        return graph.importers(self.graph[1]).where(F.col("module") == module)
+        return graph.importers(*self.graph[:2]).where(F.col("module") == module)
 
     def dependencies(self, file: str) -> DataFrame:
-        return graph.dependencies(self.graph[1]).where(F.col("file") == file)
+        return graph.dependencies(*self.graph[:2]).where(F.col("file") == file)
 
     def neighbors(self, label: str, key: str, depth: int = 1, types: list[str] | None = None) -> DataFrame:
         start = self.graph[0].where((F.col("label") == label) & (F.col("key") == key)).select(*graph.NODE)

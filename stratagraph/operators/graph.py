@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratagraph.runtime import bounded_broadcast, cut
+from stratagraph.runtime import bounded_broadcast, cut, salted_join
 
 NODE = ["project", "label", "key"]
 EDGE = ["project", "type", "src_label", "src_key", "dst_label", "dst_key"]
@@ -73,32 +73,51 @@ def symbols(nodes: DataFrame, only_live: bool = True) -> DataFrame:
     return live(s) if only_live else s
 
 
+def live_files(df: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """Rows whose file (project, column) isn't tombstoned. A file that is only known as an end of edges is live."""
+    dead = nodes.where("label = 'File' and invalid_sha is not null").select("project", F.col("key").alias(column))
+    return df.join(dead, ["project", column], "left_anti")
+
+
+def _defines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """project, file, key: the symbols that live files define. An edge's tombstone isn't looked at."""
+    d = edges.where("type = 'DEFINES' and src_label = 'File' and dst_label = 'Symbol'").select("project", F.col("src_key").alias("file"), F.col("dst_key").alias("key"))
+    return live_files(d, nodes, "file")
+
+
+def _asked(nodes: DataFrame, names: DataFrame | None) -> DataFrame:
+    return nodes if names is None else nodes.join(names, ["project", "name"], "left_semi")
+
+
 def definitions(nodes: DataFrame, edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """project, name, file, start, end, kind of the symbols with the asked names (all names if None)."""
-    s = symbols(nodes) if names is None else symbols(nodes).join(names, ["project", "name"], "left_semi")
-    d = edges.where("type = 'DEFINES' and src_label = 'File' and dst_label = 'Symbol'").select("project", F.col("src_key").alias("def_file"), F.col("dst_key").alias("key"))
-    return s.join(d, ["project", "key"]).select("project", "name", F.col("def_file").alias("file"), "start", "end", "kind")
+    """project, name, file, start, end, kind of the symbols with the asked names (all names if None) that live files define."""
+    s = _asked(symbols(nodes), names)
+    return s.join(_defines(nodes, edges).withColumnRenamed("file", "def_file"), ["project", "key"]).select("project", "name", F.col("def_file").alias("file"), "start", "end", "kind")
 
 
 def callers(nodes: DataFrame, edges: DataFrame, names: DataFrame | None = None, live_edges: bool = False) -> DataFrame:
-    """project, name, caller, target_file, target_start, target_end, target_kind: files that call or refer to a symbol.
+    """project, name, caller, target_file, target_start, target_end, target_kind: live files that call or refer to a symbol.
 
-    As in the reference an edge's tombstone isn't looked at, unless live_edges.
+    As in the reference an edge's tombstone isn't looked at, unless live_edges. Calls and references of a file to one symbol
+    are one row before they meet it, and the files of a symbol are spread over tasks.
     """
-    s = symbols(nodes) if names is None else symbols(nodes).join(names, ["project", "name"], "left_semi")
+    s = _asked(symbols(nodes), names)
     e = (live(edges) if live_edges else edges).where("type in ('CALLS', 'REFERENCES') and src_label = 'File' and dst_label = 'Symbol'")
-    return (
-        e.select("project", F.col("src_key").alias("caller"), F.col("dst_key").alias("key"))
-        .join(s.select("project", "key", "name", F.col("file").alias("target_file"), F.col("start").alias("target_start"), F.col("end").alias("target_end"), F.col("kind").alias("target_kind")), ["project", "key"])
-        .select("project", "name", "caller", "target_file", "target_start", "target_end", "target_kind")
-        .distinct()
-    )
+    once = live_files(e.select("project", F.col("src_key").alias("caller"), F.col("dst_key").alias("key")).distinct(), nodes, "caller")
+    targets = s.select("project", "key", "name", F.col("file").alias("target_file"), F.col("start").alias("target_start"), F.col("end").alias("target_end"), F.col("kind").alias("target_kind"))
+    return salted_join(once, targets, ["project", "key"], ["caller"]).select("project", "name", "caller", "target_file", "target_start", "target_end", "target_kind").distinct()
 
 
 def defines_at(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """project, file, name: distinct names of live symbols that the given (project, file) define."""
-    d = edges.where("type = 'DEFINES' and dst_label = 'Symbol'").select("project", F.col("src_key").alias("file"), F.col("dst_key").alias("key"))
-    return d.join(files, ["project", "file"], "left_semi").join(symbols(nodes).select("project", "key", "name"), ["project", "key"]).where("name is not null").select("project", "file", "name").distinct()
+    """project, file, name: distinct names of live symbols that the given (project, file) define, if these are live."""
+    d = _defines(nodes, edges).join(files, ["project", "file"], "left_semi")
+    return d.join(symbols(nodes).select("project", "key", "name"), ["project", "key"]).where("name is not null").select("project", "file", "name").distinct()
+
+
+def slim(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What topology queries read of nodes and edges, cut once for all hops."""
+    n = nodes.where("label in ('File', 'Symbol', 'Type')").select(*NODE, "name", "kind", "file", "start", "end", "unresolved", "invalid_sha")
+    return cut(n), cut(edges.where("type in ('DEFINES', 'CALLS', 'REFERENCES')").select(*EDGE, "invalid_sha"))
 
 
 def callers_multi(nodes: DataFrame, edges: DataFrame, names: DataFrame, depth: int) -> DataFrame:
@@ -130,65 +149,82 @@ def callers_multi(nodes: DataFrame, edges: DataFrame, names: DataFrame, depth: i
     return out.select("project", "root", "caller", "hop", "name", "target_file", "target_start", "target_end", "target_kind")
 
 
+def _owners(nodes: DataFrame, edges: DataFrame, names: DataFrame | None) -> DataFrame:
+    """project, symbol, src: the live files that define a live symbol of an asked name."""
+    s = _asked(live(nodes.where("label = 'Symbol'")), names).select("project", "key", F.col("name").alias("symbol"))
+    return _defines(nodes, edges).join(s, ["project", "key"]).select("project", "symbol", F.col("file").alias("src")).distinct()
+
+
+def _called(nodes: DataFrame, edges: DataFrame, type_: str, labels: tuple[str, ...]) -> DataFrame:
+    """project, src, label, key, name, file, start, end, kind, resolved: the live targets of the edges of a type from live files, once each."""
+    e = edges.where((F.col("type") == type_) & (F.col("src_label") == "File") & F.col("dst_label").isin(*labels))
+    once = live_files(e.select("project", F.col("src_key").alias("src"), F.col("dst_label").alias("label"), F.col("dst_key").alias("key")).distinct(), nodes, "src")
+    targets = live(nodes.where(F.col("label").isin(*labels))).select(*NODE, "name", "file", "start", "end", "kind", F.col("unresolved").isNull().alias("resolved"))
+    return salted_join(once, targets, NODE, ["src"])
+
+
 def callees(nodes: DataFrame, edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """project, symbol, name, key, file, start, end, kind, resolved, label: what the files that define a symbol call."""
-    d = edges.where("type = 'DEFINES' and dst_label = 'Symbol'").select("project", F.col("src_key").alias("src"), F.col("dst_key").alias("key"))
-    s = symbols(nodes) if names is None else symbols(nodes).join(names, ["project", "name"], "left_semi")
-    owners = d.join(s.select("project", "key", F.col("name").alias("symbol")), ["project", "key"]).select("project", "symbol", "src").distinct()
-    c = edges.where("type = 'CALLS' and src_label = 'File' and dst_label in ('Symbol', 'Type')").select("project", F.col("src_key").alias("src"), F.col("dst_label").alias("label"), F.col("dst_key").alias("key"))
-    targets = nodes.where("label in ('Symbol', 'Type')").select(*NODE, "name", "file", "start", "end", "kind", F.col("unresolved").isNull().alias("resolved"))
-    # The calls are joined to their targets before they are spread over the symbols of their files.
-    called = c.join(targets, NODE).drop_duplicates(["project", "src", "label", "key"])
-    return owners.join(called, ["project", "src"]).select("project", "symbol", "name", "key", "file", "start", "end", "kind", "resolved", "label").distinct()
+    """project, symbol, name, key, file, start, end, kind, resolved, label: what the files that define a symbol call.
+
+    Files, symbols and targets are live; the calls are joined to their targets before they are spread over the symbols of
+    their files.
+    """
+    called = _called(nodes, edges, "CALLS", ("Symbol", "Type"))
+    return _owners(nodes, edges, names).join(called, ["project", "src"]).select("project", "symbol", "name", "key", "file", "start", "end", "kind", "resolved", "label").distinct()
 
 
 def callees_multi(nodes: DataFrame, edges: DataFrame, names: DataFrame, depth: int) -> DataFrame:
     """Callees up to `depth` hops: root, hop, name, file, label, resolved; each (name, file) once per root, at its first hop.
 
-    Only resolved callees with a file lead on; the next ring are the names of the callees.
+    The first ring are the files that define the root; the next ones are the files of the callees that are new, resolved and
+    have a file: from there on all calls of these files count.
     """
     depth = max(1, min(depth, MAX_DEPTH))
-    ring = names.select("project", F.col("name").alias("root"), "name").distinct()
-    seen_names, out = ring, None
+    roots = names.select("project", "name").distinct()
+    ring = _owners(nodes, edges, roots).select("project", F.col("symbol").alias("root"), "src")
+    called = _called(nodes, edges, "CALLS", ("Symbol", "Type"))
+    seen_files, out = ring, None
     for hop in range(1, depth + 1):
-        found = callees(nodes, edges, ring.select("project", "name")).join(ring.select("project", "root", F.col("name").alias("symbol")), ["project", "symbol"])
-        found = found.groupBy("project", "root", "name", "file").agg(F.min("label").alias("label"), F.bool_or("resolved").alias("resolved")).withColumn("hop", F.lit(hop))
+        found = ring.join(called, ["project", "src"]).groupBy("project", "root", "name", "file").agg(F.min("label").alias("label"), F.bool_or("resolved").alias("resolved")).withColumn("hop", F.lit(hop))
         if out is not None:
             seen = out.select("project", "root", F.col("name").alias("n"), F.col("file").alias("f"))
-            found = found.alias("a").join(seen.alias("b"), (F.col("a.project") == F.col("b.project")) & (F.col("a.root") == F.col("b.root")) & (F.col("a.name") == F.col("b.n")) & F.col("a.file").eqNullSafe(F.col("b.f")), "left_anti")
+            same = (F.col("a.project") == F.col("b.project")) & (F.col("a.root") == F.col("b.root")) & F.col("a.name").eqNullSafe(F.col("b.n")) & F.col("a.file").eqNullSafe(F.col("b.f"))
+            found = found.alias("a").join(seen.alias("b"), same, "left_anti")
         found = cut(found)
         out = found if out is None else out.unionByName(found)
-        ring = cut(found.where("resolved and file is not null").select("project", "root", "name").distinct().join(seen_names, ["project", "root", "name"], "left_anti"))
-        seen_names = seen_names.unionByName(ring)
+        if hop < depth:
+            ring = cut(found.where("resolved and file is not null").select("project", "root", F.col("file").alias("src")).distinct().join(seen_files, ["project", "root", "src"], "left_anti"))
+            seen_files = seen_files.unionByName(ring)
     return out.select("project", "root", "hop", "name", "file", "label", "resolved")
 
 
 def injects(nodes: DataFrame, edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """project, symbol, name, key, file, kind, resolved: what the files that define a symbol have injected."""
-    d = edges.where("type = 'DEFINES' and dst_label = 'Symbol'").select("project", F.col("src_key").alias("src"), F.col("dst_key").alias("key"))
-    s = symbols(nodes) if names is None else symbols(nodes).join(names, ["project", "name"], "left_semi")
-    owners = d.join(s.select("project", "key", F.col("name").alias("symbol")), ["project", "key"]).select("project", "symbol", "src").distinct()
-    i = edges.where("type = 'INJECTS' and dst_label = 'Symbol'").select("project", F.col("src_key").alias("src"), F.col("dst_key").alias("key"))
-    targets = nodes.where("label = 'Symbol'").select("project", "key", "name", "file", "kind", F.col("unresolved").isNull().alias("resolved"))
-    return owners.join(i.join(targets, ["project", "key"]), ["project", "src"]).select("project", "symbol", "name", "key", "file", "kind", "resolved").distinct()
+    """project, symbol, name, key, file, kind, resolved: what the live files that define a live symbol have injected."""
+    called = _called(nodes, edges, "INJECTS", ("Symbol", "Type"))
+    return _owners(nodes, edges, names).join(called, ["project", "src"]).select("project", "symbol", "name", "key", "file", "kind", "resolved").distinct()
 
 
 def injectors(nodes: DataFrame, edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """project, token, file: files that have a token injected, resolved or not."""
-    s = nodes.where("label = 'Symbol' and name is not null").select("project", "key", F.col("name").alias("token"))
+    """project, token, file: live files that have a live token injected, resolved or not."""
+    s = live(nodes.where("label = 'Symbol' and name is not null")).select("project", "key", F.col("name").alias("token"))
     s = s if names is None else s.join(names.select("project", F.col("name").alias("token")), ["project", "token"], "left_semi")
-    i = edges.where("type = 'INJECTS' and dst_label = 'Symbol'").select("project", F.col("src_key").alias("file"), F.col("dst_key").alias("key"))
-    return i.join(s, ["project", "key"]).select("project", "token", "file").distinct()
+    i = edges.where("type = 'INJECTS' and src_label = 'File' and dst_label = 'Symbol'").select("project", F.col("src_key").alias("file"), F.col("dst_key").alias("key")).distinct()
+    return salted_join(live_files(i, nodes, "file"), s, ["project", "key"], ["file"]).select("project", "token", "file").distinct()
 
 
-def importers(edges: DataFrame) -> DataFrame:
-    """project, file, module of live imports of modules."""
-    return live(edges).where("type = 'IMPORTS' and dst_label = 'Module'").select("project", F.col("src_key").alias("file"), F.col("dst_key").alias("module")).distinct()
+def importers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """project, file, module of live imports of modules by live files."""
+    return live_files(live(edges).where("type = 'IMPORTS' and src_label = 'File' and dst_label = 'Module'").select("project", F.col("src_key").alias("file"), F.col("dst_key").alias("module")).distinct(), nodes, "file")
 
 
-def dependencies(edges: DataFrame) -> DataFrame:
-    """project, file, module of all imports of modules; as modules import nothing, more hops find no more."""
-    return edges.where("type = 'IMPORTS' and dst_label = 'Module'").select("project", F.col("src_key").alias("file"), F.col("dst_key").alias("module")).distinct()
+def dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """project, file, module of all imports of live modules by live files.
+
+    A module imports nothing, but a file may import files, so more hops would go on from those; one hop is what counts here.
+    """
+    i = edges.where("type = 'IMPORTS' and src_label = 'File' and dst_label = 'Module'").select("project", F.col("src_key").alias("file"), F.col("dst_key").alias("module")).distinct()
+    dead = nodes.where("label = 'Module' and invalid_sha is not null").select("project", F.col("key").alias("module"))
+    return salted_join(live_files(i, nodes, "file"), dead, ["project", "module"], ["file"], "left_anti")
 
 
 def neighbors(edges: DataFrame, start: DataFrame, depth: int = 1, types: list[str] | None = None) -> DataFrame:
@@ -199,7 +235,7 @@ def neighbors(edges: DataFrame, start: DataFrame, depth: int = 1, types: list[st
     seen = start.select(*NODE).distinct()
     ring = seen
     for _ in range(max(1, min(depth, MAX_DEPTH))):
-        nxt = both.join(ring, NODE, "left_semi").select("project", F.col("to_label").alias("label"), F.col("to_key").alias("key")).distinct()
+        nxt = salted_join(both, ring, NODE, ["to_label", "to_key"], "left_semi").select("project", F.col("to_label").alias("label"), F.col("to_key").alias("key")).distinct()
         ring = cut(nxt.join(seen, NODE, "left_anti"))
         seen = seen.unionByName(ring)
     return seen.join(start, NODE, "left_anti")
@@ -210,12 +246,12 @@ def callers_at(nodes: DataFrame, edges: DataFrame, ordinal: int) -> DataFrame:
     s = alive_at(symbols(nodes, only_live=False), ordinal).select("project", "key", "name", F.col("file").alias("target_file"), F.col("start").alias("target_start"), F.col("end").alias("target_end"), F.col("kind").alias("target_kind"))
     f = alive_at(nodes.where("label = 'File'"), ordinal).select("project", F.col("key").alias("caller"))
     e = alive_at(edges.where("type in ('CALLS', 'REFERENCES') and src_label = 'File' and dst_label = 'Symbol'"), ordinal).select("project", F.col("src_key").alias("caller"), F.col("dst_key").alias("key"))
-    return e.join(s, ["project", "key"]).join(f, ["project", "caller"], "left_semi").select("project", "name", "caller", "target_file", "target_start", "target_end", "target_kind").distinct()
+    return salted_join(e.distinct().join(f, ["project", "caller"], "left_semi"), s, ["project", "key"], ["caller"]).select("project", "name", "caller", "target_file", "target_start", "target_end", "target_kind").distinct()
 
 
 def drift(nodes: DataFrame, head: DataFrame) -> DataFrame:
     """project, key, name, file, last_seen_sha, invalid_sha, status of resolved symbols that aren't at their project's head."""
-    s = symbols(nodes, only_live=False).join(F.broadcast(head.select("project", "head_sha")), "project")
+    s = symbols(nodes, only_live=False).join(bounded_broadcast(head.select("project", "head_sha")), "project")
     status = F.when(F.col("invalid_sha").isNotNull(), "tombstoned").when(F.col("last_seen_sha") != F.col("head_sha"), "drifted")
     return s.withColumn("status", status).where("status is not null").select("project", "key", "name", "file", "last_seen_sha", "invalid_sha", "status")
 
@@ -266,7 +302,7 @@ def delete_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, sha: str,
     n = nodes.join(marked, NODE, "left").withColumn("_gone", F.col("_g").isNotNull()).drop("_g")
     src = marked.select("project", F.col("label").alias("src_label"), F.col("key").alias("src_key"), F.col("_g").alias("_s"))
     dst = marked.select("project", F.col("label").alias("dst_label"), F.col("key").alias("dst_key"), F.col("_g").alias("_d"))
-    e = edges.join(src, ["project", "src_label", "src_key"], "left").join(dst, ["project", "dst_label", "dst_key"], "left").withColumn("_gone", F.coalesce("_s", "_d").isNotNull()).drop("_s", "_d")
+    e = salted_join(salted_join(edges, src, ["project", "src_label", "src_key"], ["dst_key"], "left"), dst, ["project", "dst_label", "dst_key"], ["src_key"], "left").withColumn("_gone", F.coalesce("_s", "_d").isNotNull()).drop("_s", "_d")
     return mark(n), mark(e)
 
 

@@ -71,25 +71,25 @@ def q_injectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_importers(spark: SparkSession, d: str) -> DataFrame:
-    return graph.importers(tables(spark, d)[1])
+    n, e, _ = tables(spark, d)
+    return graph.importers(n, e)
 
 
 def q_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    return graph.dependencies(tables(spark, d)[1])
+    n, e, _ = tables(spark, d)
+    return graph.dependencies(n, e)
 
 
 def _callers_depth(depth: int):  # noqa: ANN202
     def run(spark: SparkSession, d: str) -> DataFrame:
-        n, e, _ = tables(spark, d)
-        n, e = cut(n), cut(e)
+        n, e = graph.slim(*tables(spark, d)[:2])
         return graph.callers_multi(n, e, graph.most_called(n, e), depth)
 
     return run
 
 
 def q_callees_depth2(spark: SparkSession, d: str) -> DataFrame:
-    n, e, _ = tables(spark, d)
-    n, e = cut(n), cut(e)
+    n, e = graph.slim(*tables(spark, d)[:2])
     return graph.callees_multi(n, e, graph.most_called(n, e), 2)
 
 
@@ -138,7 +138,7 @@ def _vacuum(**mode):  # noqa: ANN003, ANN202
 def q_resolve(spark: SparkSession, d: str) -> DataFrame:
     n, e, _ = tables(spark, d)
     refs = resolve.placeholder_edges(n, e)
-    return resolve.resolve(refs, resolve.definition_index(n, e), resolve.relative_imports(e))
+    return resolve.resolve(refs, resolve.definition_index(n, e), resolve.relative_imports(e)).drop("assembly")
 
 
 def q_resolve_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -155,9 +155,10 @@ def q_import_alias(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_file_project(spark: SparkSession, d: str) -> DataFrame:
-    """The innermost directory with at least three live files that contains each live file."""
+    """The innermost directory with at least three live files below it, at any depth, that contains each live file."""
     f = tables(spark, d)[0].where("label = 'File' and invalid_sha is null").select("project", F.col("key").alias("file"))
-    roots = f.where("instr(file, '/') > 0").groupBy("project", F.regexp_replace("file", "/[^/]*$", "").alias("root")).agg(F.count("*").alias("n")).where("n >= 3")
+    above = f.where("instr(file, '/') > 0").select("project", F.explode(F.expr("transform(sequence(1, size(split(file, '/')) - 1), i -> substring_index(file, '/', i))")).alias("root"))
+    roots = above.groupBy("project", "root").agg(F.count("*").alias("n")).where("n >= 3")
     return resolve.containing(f, roots)
 
 
@@ -189,13 +190,17 @@ e0 AS (SELECT project, type, src_label, src_key, dst_label, dst_key, min(idx) AS
 e AS (SELECT e0.*, a.idx AS invalid_ord, a.head_sha AS invalid_sha, a.t AS invalid_at FROM e0 LEFT JOIN o a ON e0.project = a.project AND a.idx = e0.last_seen_ord + 1),
 sy AS (SELECT * FROM n WHERE label = 'Symbol' AND unresolved IS NULL AND invalid_sha IS NULL),
 df AS (SELECT project, src_key AS file, dst_key AS key, src_label, invalid_sha FROM e WHERE type = 'DEFINES' AND dst_label = 'Symbol'),
+xf AS (SELECT project, key AS file FROM n WHERE label = 'File' AND invalid_sha IS NOT NULL),
+dl AS (SELECT project, file, key FROM df ANTI JOIN xf USING (project, file) WHERE src_label = 'File'),
 ca AS (SELECT DISTINCT e.project, sy.name, e.src_key AS caller, sy.file AS target_file, sy.start AS target_start, sy."end" AS target_end, sy.kind AS target_kind
-  FROM e JOIN sy ON e.project = sy.project AND e.dst_key = sy.key WHERE e.type IN ('CALLS', 'REFERENCES') AND e.src_label = 'File' AND e.dst_label = 'Symbol'),
-dn AS (SELECT DISTINCT df.project, df.file, sy.name FROM df JOIN sy USING (project, key) WHERE name IS NOT NULL),
+  FROM e JOIN sy ON e.project = sy.project AND e.dst_key = sy.key WHERE e.type IN ('CALLS', 'REFERENCES') AND e.src_label = 'File' AND e.dst_label = 'Symbol' AND (e.project, e.src_key) NOT IN (SELECT (project, file) FROM xf)),
+dn AS (SELECT DISTINCT dl.project, dl.file, sy.name FROM dl JOIN sy USING (project, key) WHERE name IS NOT NULL),
 mc AS (SELECT project, name FROM (SELECT project, name, count(DISTINCT caller) AS k FROM ca GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY project ORDER BY k DESC, name DESC NULLS LAST) = 1),
-ow AS (SELECT DISTINCT df.project, sy.name AS symbol, df.file AS src FROM df JOIN sy USING (project, key)),
-ce AS (SELECT DISTINCT ow.project, symbol, t.name, t.key, t.file, t.start, t."end", t.kind, t.unresolved IS NULL AS resolved, t.label
-  FROM ow JOIN e ON ow.project = e.project AND ow.src = e.src_key AND e.type = 'CALLS' AND e.src_label = 'File' AND e.dst_label IN ('Symbol', 'Type') JOIN n t ON t.project = e.project AND t.label = e.dst_label AND t.key = e.dst_key)
+ow AS (SELECT DISTINCT dl.project, n.name AS symbol, dl.file AS src FROM dl JOIN n ON n.project = dl.project AND n.label = 'Symbol' AND n.key = dl.key WHERE n.invalid_sha IS NULL),
+ct AS (SELECT DISTINCT e.project, e.type, e.src_key AS src, t.name, t.key, t.file, t.start, t."end", t.kind, t.unresolved IS NULL AS resolved, t.label
+  FROM e JOIN n t ON t.project = e.project AND t.label = e.dst_label AND t.key = e.dst_key
+  WHERE e.type IN ('CALLS', 'INJECTS') AND e.src_label = 'File' AND e.dst_label IN ('Symbol', 'Type') AND t.invalid_sha IS NULL AND NOT EXISTS (SELECT 1 FROM xf WHERE xf.project = e.project AND xf.file = e.src_key)),
+ce AS (SELECT DISTINCT ow.project, symbol, ct.name, key, file, start, "end", kind, resolved, label FROM ow JOIN ct USING (project, src) WHERE ct.type = 'CALLS')
 """
 
 _ST = "first_seen_ord, first_seen_sha, last_seen_ord, last_seen_sha, invalid_ord, invalid_sha"
@@ -242,23 +247,24 @@ SQL = {
     "q_upsert_nodes": _G + f'SELECT project, label, key, name, kind, file, start, "end", params, unresolved, {_ST} FROM n',
     "q_upsert_edges": _G + f"SELECT project, type, src_label, src_key, dst_label, dst_key, args, resolved, confidence, {_ST} FROM e",
     "q_missing_endpoints": _G + "SELECT x.* FROM (SELECT project, src_label AS label, src_key AS key FROM e UNION SELECT project, dst_label, dst_key FROM e) x ANTI JOIN n USING (project, label, key)",
-    "q_definitions": _G + "SELECT sy.project, name, df.file, start, \"end\", kind FROM sy JOIN df USING (project, key) WHERE df.src_label = 'File'",
+    "q_definitions": _G + "SELECT sy.project, name, dl.file, start, \"end\", kind FROM sy JOIN dl USING (project, key)",
     "q_callers": _G + "SELECT * FROM ca",
     "q_callers_live": _G + """SELECT DISTINCT e.project, sy.name, e.src_key AS caller, sy.file AS target_file, sy.start AS target_start, sy."end" AS target_end, sy.kind AS target_kind
-        FROM e JOIN sy ON e.project = sy.project AND e.dst_key = sy.key WHERE e.type IN ('CALLS', 'REFERENCES') AND e.src_label = 'File' AND e.dst_label = 'Symbol' AND e.invalid_sha IS NULL""",
+        FROM e JOIN sy ON e.project = sy.project AND e.dst_key = sy.key WHERE e.type IN ('CALLS', 'REFERENCES') AND e.src_label = 'File' AND e.dst_label = 'Symbol' AND e.invalid_sha IS NULL
+        AND NOT EXISTS (SELECT 1 FROM xf WHERE xf.project = e.project AND xf.file = e.src_key)""",
     "q_callees": _G + "SELECT * FROM ce",
-    "q_injects": _G + """SELECT DISTINCT ow.project, symbol, t.name, t.key, t.file, t.kind, t.unresolved IS NULL AS resolved FROM ow JOIN e ON ow.project = e.project AND ow.src = e.src_key AND e.type = 'INJECTS' AND e.dst_label = 'Symbol'
-        JOIN n t ON t.project = e.project AND t.label = 'Symbol' AND t.key = e.dst_key""",
-    "q_injectors": _G + "SELECT DISTINCT e.project, t.name AS token, e.src_key AS file FROM e JOIN n t ON t.project = e.project AND t.label = 'Symbol' AND t.key = e.dst_key AND t.name IS NOT NULL WHERE e.type = 'INJECTS' AND e.dst_label = 'Symbol'",
-    "q_importers": _G + "SELECT DISTINCT project, src_key AS file, dst_key AS module FROM e WHERE type = 'IMPORTS' AND dst_label = 'Module' AND invalid_sha IS NULL",
-    "q_dependencies": _G + "SELECT DISTINCT project, src_key AS file, dst_key AS module FROM e WHERE type = 'IMPORTS' AND dst_label = 'Module'",
+    "q_injects": _G + "SELECT DISTINCT ow.project, symbol, ct.name, key, file, kind, resolved FROM ow JOIN ct USING (project, src) WHERE ct.type = 'INJECTS'",
+    "q_injectors": _G + "SELECT DISTINCT project, name AS token, src AS file FROM ct WHERE type = 'INJECTS' AND label = 'Symbol' AND name IS NOT NULL",
+    "q_importers": _G + "SELECT DISTINCT project, src_key AS file, dst_key AS module FROM e WHERE type = 'IMPORTS' AND dst_label = 'Module' AND invalid_sha IS NULL AND (project, src_key) NOT IN (SELECT (project, file) FROM xf)",
+    "q_dependencies": _G + """SELECT DISTINCT project, src_key AS file, dst_key AS module FROM e WHERE type = 'IMPORTS' AND dst_label = 'Module' AND (project, src_key) NOT IN (SELECT (project, file) FROM xf)
+        AND NOT EXISTS (SELECT 1 FROM n WHERE n.project = e.project AND n.label = 'Module' AND n.key = e.dst_key AND n.invalid_sha IS NOT NULL)""",
     "q_callers_depth2": _G + _RINGS + "SELECT * FROM r1 UNION ALL SELECT * FROM r2",
     "q_callers_depth3": _G + _RINGS + "SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3",
     "q_callees_depth2": _G + """,
 c1 AS (SELECT ce.project, mc.name AS root, 1 AS hop, ce.name, ce.file, min(ce.label) AS label, bool_or(resolved) AS resolved FROM ce JOIN mc ON ce.project = mc.project AND ce.symbol = mc.name GROUP BY ALL),
-k2 AS (SELECT DISTINCT project, root, name FROM c1 WHERE resolved AND file IS NOT NULL AND name <> root),
-c2 AS (SELECT ce.project, k2.root, 2 AS hop, ce.name, ce.file, min(ce.label) AS label, bool_or(resolved) AS resolved FROM ce JOIN k2 ON ce.project = k2.project AND ce.symbol = k2.name GROUP BY ALL)
-SELECT * FROM c1 UNION ALL SELECT * FROM c2 WHERE NOT EXISTS (SELECT 1 FROM c1 WHERE c1.project = c2.project AND c1.root = c2.root AND c1.name = c2.name AND c1.file IS NOT DISTINCT FROM c2.file)""",
+f2 AS (SELECT DISTINCT project, root, file AS src FROM c1 WHERE resolved AND file IS NOT NULL),
+c2 AS (SELECT project, f2.root, 2 AS hop, ct.name, ct.file, min(ct.label) AS label, bool_or(resolved) AS resolved FROM f2 JOIN ct USING (project, src) WHERE ct.type = 'CALLS' GROUP BY ALL)
+SELECT * FROM c1 UNION ALL SELECT * FROM c2 WHERE NOT EXISTS (SELECT 1 FROM c1 WHERE c1.project = c2.project AND c1.root = c2.root AND c1.name IS NOT DISTINCT FROM c2.name AND c1.file IS NOT DISTINCT FROM c2.file)""",
     "q_neighbors_2": _G + """,
 b AS (SELECT project, 'File' AS label, key FROM (SELECT project, src_key AS key, count(*) AS k FROM e WHERE src_label = 'File' GROUP BY project, src_key) QUALIFY row_number() OVER (PARTITION BY project ORDER BY k DESC, key DESC) = 1),
 u AS (SELECT project, src_label AS a_l, src_key AS a_k, dst_label AS b_l, dst_key AS b_k FROM e UNION ALL SELECT project, dst_label, dst_key, src_label, src_key FROM e),
@@ -284,10 +290,15 @@ UNION ALL SELECT project, 'edge', type, src_key, concat_ws('|', dst_label, dst_k
     "q_resolve_stats": _G + _RESOLVE + "SELECT type, tier, count(*) AS n FROM rs GROUP BY ALL",
     "q_orphans": _G + "SELECT project, key FROM n WHERE label = 'Symbol' AND starts_with(key, 'name::') AND invalid_sha IS NULL AND NOT EXISTS (SELECT 1 FROM e WHERE e.project = n.project AND e.dst_key = n.key AND e.dst_label = 'Symbol' AND e.invalid_sha IS NULL AND e.type IN ('CALLS', 'INJECTS', 'REFERENCES'))",
     "q_import_alias": _G + r""",
-f AS (SELECT project, key AS file, regexp_replace(key, '\.[A-Za-z0-9]+$', '') AS bare FROM n WHERE label = 'File' AND invalid_sha IS NULL)
-SELECT project, file, bare AS alias FROM f UNION SELECT project, file, regexp_extract(bare, '[^/]*$') FROM f UNION SELECT project, file, replace(regexp_replace(bare, '/__init__$', ''), '/', '.') FROM f WHERE file LIKE '%.py'""",
+f AS (SELECT project, key AS file, regexp_extract(key, '[^/]*$') AS base FROM n WHERE label = 'File' AND invalid_sha IS NULL),
+g AS (SELECT *, CASE WHEN regexp_matches(base, '.\.[^.]*$') THEN regexp_replace(base, '\.[^.]*$', '') ELSE base END AS stem, substr(file, 1, greatest(length(file) - length(base) - 1, 0)) AS dir FROM f),
+pk AS (SELECT project, dir FROM g WHERE base = '__init__.py' AND dir <> ''),
+cl AS (SELECT g.project, g.file, g.dir, stem AS dotted FROM g UNION ALL
+  SELECT cl.project, cl.file, CASE WHEN contains(cl.dir, '/') THEN regexp_replace(cl.dir, '/[^/]*$', '') ELSE '' END, regexp_extract(cl.dir, '[^/]*$') || '.' || dotted FROM cl JOIN pk ON pk.project = cl.project AND pk.dir = cl.dir)
+SELECT project, file, file AS alias FROM g UNION SELECT project, file, stem FROM g UNION SELECT project, file, arg_max(dotted, length(dotted)) FROM cl GROUP BY ALL""",
     "q_file_project": _G + """,
 f AS (SELECT project, key AS file FROM n WHERE label = 'File' AND invalid_sha IS NULL),
-rt AS (SELECT project, regexp_replace(file, '/[^/]*$', '') AS root FROM f WHERE contains(file, '/') GROUP BY ALL HAVING count(*) >= 3)
+dr AS (SELECT DISTINCT project, array_to_string(string_split(file, '/')[1:i], '/') AS root FROM (SELECT project, file, unnest(range(1, len(string_split(file, '/')))) AS i FROM f)),
+rt AS (SELECT dr.project, root FROM dr JOIN f ON f.project = dr.project AND starts_with(f.file, root || '/') GROUP BY ALL HAVING count(*) >= 3)
 SELECT f.project, file, arg_max(root, length(root)) AS root FROM f JOIN rt ON f.project = rt.project AND starts_with(f.file, rt.root || '/') GROUP BY ALL""",
 }
