@@ -88,7 +88,7 @@ class Memory:
     def claims(self, subject: str | None = None, as_of: float | None = None, limit: int | None = 50) -> DataFrame:
         history = memory.claim_history(memory.valid_claims(self.table("claims")))
         rows = memory.current(history) if as_of is None else memory.as_of(history, as_of)
-        rows = rows if subject is None else rows.where(F.col("subject") == subject.strip().lower())
+        rows = rows if subject is None else rows.where(F.col("subject") == subject.strip())
         ordered = rows.orderBy(F.desc("valid_at"), "subject", "predicate", "obj")
         return ordered if limit is None else ordered.limit(limit)
 

@@ -37,8 +37,8 @@ def slug(x: Column) -> Column:
 
 
 def kebab(x: Column) -> Column:
-    """A predicate in kebab case."""
-    return F.regexp_replace(F.lower(F.trim(x)), r"[\s_]+", "-")
+    """A predicate in kebab case: without outer white space, in lower case, '-' for each blank."""
+    return F.replace(F.lower(strip(x)), F.lit(" "), F.lit("-"))
 
 
 def last_identifier(x: Column) -> Column:

@@ -224,7 +224,7 @@ def dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     i = edges.where("type = 'IMPORTS' and src_label = 'File' and dst_label = 'Module'").select("project", F.col("src_key").alias("file"), F.col("dst_key").alias("module")).distinct()
     dead = nodes.where("label = 'Module' and invalid_sha is not null").select("project", F.col("key").alias("module"))
-    return salted_join(live_files(i, nodes, "file"), dead, ["project", "module"], ["file"], "left_anti")
+    return salted_join(live_files(i, nodes, "file"), dead, ["project", "module"], ["file"], "left_anti").select("project", "file", "module")
 
 
 def neighbors(edges: DataFrame, start: DataFrame, depth: int = 1, types: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratagraph.functions.text import content_hash, kebab, normal_prompt, tokens
+from stratagraph.functions.text import content_hash, kebab, normal_prompt, strip, tokens
 
 #: Predicates of which a subject has one value at a time (fixed values).
 SINGLE_VALUED = ("prefers", "uses", "deployed-to", "is-located-at", "is-a", "owns", "assigned-to", "depends-on")
@@ -15,10 +15,14 @@ RECENCY = 30 * 86_400
 
 
 def valid_claims(claims: DataFrame) -> DataFrame:
-    """Claims with non-empty subject, predicate and object, a polarity and a confidence within 0..1; predicates in kebab case."""
-    full = (F.trim("subject") != "") & (F.trim("predicate") != "") & (F.trim("obj") != "")
-    ok = claims.where(full & F.col("polarity").isNotNull() & F.col("confidence").between(0, 1))
-    return ok.withColumn("predicate", kebab(F.col("predicate"))).withColumn("subject", F.lower(F.trim("subject")))
+    """Claims with non-empty subject, predicate and object, a polarity and a confidence within 0..1.
+
+    Subjects, objects and evidence lose outer white space, and keep their case; predicates are in kebab case; null or blank
+    evidence is ''.
+    """
+    s, p, o, e = (strip(F.col(c)) for c in ("subject", "predicate", "obj", "evidence_span"))
+    ok = claims.where((s != "") & (p != "") & (o != "") & F.col("polarity").isNotNull() & F.col("confidence").between(0, 1))
+    return ok.withColumns({"predicate": kebab(F.col("predicate")), "subject": s, "obj": o, "evidence_span": F.coalesce(e, F.lit(""))})
 
 
 def claim_history(claims: DataFrame) -> DataFrame:

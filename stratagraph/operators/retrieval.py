@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from stratagraph.runtime import BROADCAST_ROWS, cut
 #: Constant of reciprocal rank fusion, and how many times k each branch fetches.
 RRF_K, PREFETCH = 60, 4
 #: Rows of a part of the vectors, and of a block of queries, that one task holds.
-PART_ROWS = 50_000
+PART_ROWS = 20_000
 #: Adjustments of a hit's score (fixed values).
 GENERATED_PENALTY, ENTRYPOINT_BOOST = 0.15, 0.05
 ENTRYPOINTS = ("app.config.ts", "app.routes.ts", "app-routing.module.ts", "main.ts", "main.server.ts", "app.module.ts", "app.component.ts", "index.ts", "providers.ts")
@@ -29,13 +30,15 @@ STOP_WORDS = (
 ).split()
 #: Parts of the files of one word where the queries' words are too many to broadcast.
 WORD_SALTS = 16
+#: Parts of the rows and of the queries of one sparse term.
+TERM_SALTS = 4
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = -2.0, within: tuple[str, ...] = ()) -> DataFrame:
     """query, id, score, rank: for each query its k nearest vectors by cosine (DOUBLE, rounded to 6; ties by id), itself left out.
 
-    vectors and queries: id LONG, vector. Vectors are split into parts of about PART_ROWS rows and queries into blocks of as
-    many; each pair of a part and a block is one task of matrix products, from which only k rows of a query come out.
+    vectors and queries: id LONG or STRING, vector. Vectors are split into parts of about PART_ROWS rows and queries into blocks
+    of as many; each pair of a part and a block is one task of matrix products, from which only k rows of a query come out.
     Vectors without length, null vectors and an empty side find nothing. within: columns of both sides and of the result;
     only rows that agree in them meet, and only these need vectors of one length.
     """
@@ -50,25 +53,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = -2.
     q = side(queries, 1, "block", blocks, "part", parts)
 
     def scan(table: pa.Table) -> pa.Table:
-        role, ids = table.column("role").to_numpy(), table.column("id").to_numpy()
+        # In order of id, so that the place of a row breaks ties.
+        table = table.combine_chunks().sort_by([("id", "ascending"), ("role", "ascending")])
+        role, ids = table.column("role").to_numpy(), table.column("id")
+        same = np.cumsum(np.concatenate(([0], np.asarray(pc.not_equal(ids[1:], ids[:-1])).astype(np.int64)))) if len(ids) else np.array([], np.int64)
         column = table.column("vector").combine_chunks()
         x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         norm = np.linalg.norm(x, axis=1)
         rows, asks = np.flatnonzero((role == 0) & (norm > 0)), np.flatnonzero((role == 1) & (norm > 0))
         a, b, c = [np.array([], np.int64)], [np.array([], np.int64)], [np.array([])]
-        for lo in range(0, len(asks) if len(rows) else 0, 512):
-            some = asks[lo : lo + 512]
+        for lo in range(0, len(asks) if len(rows) else 0, 256):
+            some = asks[lo : lo + 256]
             s = np.round((x[some] @ x[rows].T) / np.outer(norm[some], norm[rows]), 6)
-            s[ids[some][:, None] == ids[rows][None, :]] = -9
-            order = np.lexsort((np.broadcast_to(ids[rows], s.shape), -s), axis=1)[:, :k]
-            best = np.take_along_axis(s, order, 1)
-            i, j = np.nonzero(best >= min_score)
-            a.append(ids[some][i]), b.append(ids[rows][order[i, j]]), c.append(best[i, j])
-        hits = {"query": np.concatenate(a), "id": np.concatenate(b), "score": np.concatenate(c)}
+            s[same[some][:, None] == same[rows][None, :]] = -9
+            least = np.partition(s, -k, axis=1)[:, -k][:, None] if k < s.shape[1] else -8
+            i, j = np.nonzero(s >= np.maximum(least, min_score))
+            found = s[i, j]
+            order = np.lexsort((j, -found, i))
+            i = i[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            i, order = i[place < k], order[place < k]
+            a.append(some[i]), b.append(rows[j[order]]), c.append(found[order])
+        hits = {"query": ids.take(pa.array(np.concatenate(a))), "id": ids.take(pa.array(np.concatenate(b))), "score": np.concatenate(c)}
         return pa.table({w: pa.repeat(table.column(w)[0], len(hits["id"])) for w in within} | hits)
 
     kinds = "".join(f"`{w}` {vectors.schema[w].dataType.simpleString()}, " for w in within)
-    found = v.unionByName(q).groupBy(*within, "part", "block").applyInArrow(scan, kinds + "query long, id long, score double")
+    kind = vectors.schema["id"].dataType.simpleString()
+    found = v.unionByName(q).groupBy(*within, "part", "block").applyInArrow(scan, kinds + f"query {kind}, id {kind}, score double")
     return ranked(found.withColumn("score", F.col("score") + F.lit(0.0)), k, within)
 
 
@@ -108,7 +119,9 @@ def sparse_top_k(rows: DataFrame, queries: DataFrame, k: int, within: tuple[str,
     n_terms = terms.groupBy(*within, "term").agg(F.count("*").alias("n"))
     idf = (n_terms.join(n_rows, list(within)) if within else n_terms.crossJoin(F.broadcast(n_rows))).select(*within, "term", F.log(1 + (F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
     asked = sparse_terms(queries, within).join(idf, [*within, "term"]).select(*within, F.col("id").alias("query"), "term", (F.col("weight") * F.col("idf")).alias("qw"))
-    met = asked.join(terms, [*within, "term"]).where("query <> id")
+    # A common term is in many rows and in many queries: both sides come in as many parts of each.
+    both = lambda df, own, other: df.withColumn(own, F.pmod(F.xxhash64("query" if own == "_q" else "id"), F.lit(TERM_SALTS)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
+    met = both(asked, "_q", "_r").join(both(terms, "_r", "_q"), [*within, "term", "_q", "_r"]).where("query <> id")
     return ranked(met.groupBy(*within, "query", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score")), k, within)
 
 

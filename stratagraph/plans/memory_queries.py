@@ -365,8 +365,9 @@ def q_chunk_similarity(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
 
 _H = """
-WITH c AS (SELECT id, lower(trim(subject)) AS subject, regexp_replace(lower(trim(predicate)), '[ \\t\\n_]+', '-', 'g') AS predicate, obj, polarity, confidence, evidence_span, valid_at, recorded_at, head_sha, session_id, entity_subject_id
-  FROM claims WHERE trim(subject) <> '' AND trim(predicate) <> '' AND trim(obj) <> '' AND polarity IS NOT NULL AND confidence BETWEEN 0 AND 1),
+WITH b AS (SELECT * REPLACE (regexp_replace(subject, '^\\s+|\\s+$', '', 'g') AS subject, regexp_replace(predicate, '^\\s+|\\s+$', '', 'g') AS predicate, regexp_replace(obj, '^\\s+|\\s+$', '', 'g') AS obj, coalesce(regexp_replace(evidence_span, '^\\s+|\\s+$', '', 'g'), '') AS evidence_span) FROM claims),
+c AS (SELECT id, subject, replace(lower(predicate), ' ', '-') AS predicate, obj, polarity, confidence, evidence_span, valid_at, recorded_at, head_sha, session_id, entity_subject_id
+  FROM b WHERE subject <> '' AND predicate <> '' AND obj <> '' AND polarity IS NOT NULL AND confidence BETWEEN 0 AND 1),
 k AS (SELECT *, predicate IN ('prefers', 'uses', 'deployed-to', 'is-located-at', 'is-a', 'owns', 'assigned-to', 'depends-on') AS single, row_number() OVER (ORDER BY recorded_at, id) AS seq FROM c),
 g AS (SELECT *, CASE WHEN single AND ((obj, polarity) IS DISTINCT FROM (lag(obj) OVER w, lag(polarity) OVER w)) THEN 1 ELSE 0 END AS chg FROM k WINDOW w AS (PARTITION BY subject, predicate ORDER BY recorded_at, id)),
 i AS (SELECT *, CASE WHEN single THEN sum(chg) OVER (PARTITION BY subject, predicate ORDER BY recorded_at, id) ELSE 0 END AS island FROM g),
