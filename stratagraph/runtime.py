@@ -86,6 +86,15 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str
     return many.join(each, [*keys, "_salt"], how).drop("_salt")
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on keys, whatever share of left one key has: by broadcast if right is counted to be small, else salted.
+
+    Use it only with a right side that is cheap to count: a small table, or one already cut. how as in salted_join().
+    """
+    few = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return left.join(F.broadcast(right), keys, how) if few else salted_join(left, right, keys, by, how)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if df has been counted to be small enough, else df as it is.
 
