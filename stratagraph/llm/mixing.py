@@ -158,7 +158,7 @@ def draw(sizes: DataFrame, plan: list[dict], seed: int = 11) -> DataFrame:
     most = max([r["docs"] for r in plan], default=0)
     buckets = max(1, -(-most // BUCKET))
     base = F.floor(F.col("x") + 1e-9)
-    state = sizes.join(F.broadcast(copies), "source").select("doc_id", "source", "tokens", base.cast("long").alias("base"), F.greatest(F.col("x") - base, F.lit(0.0)).alias("p"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("long").alias("bucket"))
+    state = sizes.join(bounded_broadcast(copies), "source").select("doc_id", "source", "tokens", base.cast("long").alias("base"), F.greatest(F.col("x") - base, F.lit(0.0)).alias("p"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("long").alias("bucket"))
     done, level = [], 0
     while True:
         state = cut(state.groupBy("source", "bucket").applyInPandas(_play(seed + level), _ROWS))
@@ -198,6 +198,6 @@ def shares(drawn: DataFrame, plan: list[dict]) -> DataFrame:
     got = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"), F.sum("copies").alias("drawn_copies"), F.max("copies").alias("most_copies"))
     all_ = got.agg(F.sum("drawn_tokens").alias("all_tokens"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    joined = rows.join(F.broadcast(got), "source", "left").crossJoin(F.broadcast(all_))  # two tables of a row for each source, and one row
+    joined = rows.join(bounded_broadcast(got), "source", "left").crossJoin(F.broadcast(all_))  # all_ is one row
     share = F.coalesce(F.col("drawn_tokens") / F.col("all_tokens"), F.lit(0.0))
     return joined.select("source", "target_share", "max_repeats", "docs", "tokens", "budget", "capped", zero("drawn_tokens"), zero("drawn_copies"), zero("most_copies"), share.alias("reached_share"), (share >= 0.99 * F.col("target_share")).alias("met"))

@@ -114,7 +114,17 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p7_percentiles": p7_percentiles, "p7_months": p7_months, "p7_totals": p7_totals, "p10_found": p10_found, "p10_scores": p10_scores, "p8_found": p8_found, "p8_passages": p8_passages, "p8_report": p8_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p1_found": p1_found, "p1_recall": p1_recall, "p2_found": p2_found, "p2_reasons": p2_reasons}
 
+_P8 = """
+WITH i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+dw AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+f AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g))
+"""
+
 SQL: dict[str, str] = {
+    "p8_found": _P8 + "SELECT doc_id, item_id FROM f",
+    "p8_report": _P8 + "SELECT item_id, suite, (SELECT count(DISTINCT doc_id) FROM f WHERE f.item_id = e.item_id) AS n_docs FROM (SELECT DISTINCT item_id, suite FROM eval_items) e",
     "p5_found": """
 WITH c AS (SELECT chunk_id, text FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC NULLS LAST) AS k FROM chunks WHERE chunk_id IS NOT NULL) WHERE k = 1 AND length(text) > 1500),
 l AS (SELECT chunk_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM c),
