@@ -39,8 +39,8 @@ BROADCAST_GROUPS = 50_000
 COLUMNS, EPSILON = 16, 3.0
 #: Rows that are scanned at once, first and then: after each the distance that would count may have shrunk.
 FIRST_ROWS, SCAN_ROWS = 256, 2048
-#: Megabytes of rows and queries that a task of the search is meant to get.
-TASK_MB = 24
+#: Megabytes of rows and queries that a task of the search gets: as few as that up to MANY_TASKS, and then up to as many.
+TASK_MB, MANY_TASKS, MOST_MB = 8, 20_000, 128
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -380,8 +380,8 @@ def neighbours(vectors: DataFrame, k: int = 5, min_cosine: float = 0.85, dim: in
     shared = spark.sparkContext.broadcast(index)
     spread = searched.mapInArrow(_spread(shared, dim, nprobe), "sp int, list int, part int, block int, role byte, id string, vec binary")
     # As many tasks as the rows need, fixed in advance: they stay of one size however many rows there are.
-    row_bytes = 4 * dim + 48
-    tasks = max(spark.sparkContext.defaultParallelism, -(-sum(sizes.values()) * nprobe * row_bytes // (TASK_MB << 20)))
+    megabytes = sum(sizes.values()) * nprobe * (4 * dim + 48) / (1 << 20)
+    tasks = max(spark.sparkContext.defaultParallelism, min(megabytes // TASK_MB + 1, MANY_TASKS), megabytes // MOST_MB)
     place = ["sp", "list", "part", "block"]
     pairs = spread.repartition(int(tasks), *place).groupBy(*place).applyInArrow(_search(dim, k, 2 - 2 * min_cosine), "sp int, a string, b string, cosine double")
     pairs = pairs.withColumn("space", F.element_at(F.array(*map(F.lit, sorted(sizes))), F.col("sp") + 1)).select("space", "a", "b", "cosine")
