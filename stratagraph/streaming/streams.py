@@ -54,7 +54,8 @@ def breaker_openings(events: DataFrame, key: str, threshold: int = 5, late: str
 def upsert_into(stream: DataFrame, target: VersionedTable, key: list[str], order: str, checkpoint: str, trigger: dict | None = None):  # noqa: ANN201
     """Starts a query that merges each micro-batch into a versioned table: per key the row with the greatest `order` stays.
 
-    A batch that is run again after a failure writes the same rows again, so the result is the same.
+    A batch reads and writes only the buckets its keys are in. One that is run again after a failure writes the same rows
+    again, so the result is the same.
     """
 
     def merge(batch: DataFrame, _: int) -> None:

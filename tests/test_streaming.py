@@ -2,8 +2,9 @@ import datetime
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
-from stratagraph.sources.store import VersionedTable, read_snapshot, write_snapshot
+from stratagraph.sources.store import SnapshotStore, VersionedTable, apply_snapshot, read_snapshot, write_snapshot
 from stratagraph.streaming import streams
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -60,3 +61,43 @@ def test_snapshots(spark, tmp_path):
     df.limit(1).write.mode("overwrite").parquet(f"{path}/nodes")
     assert read_snapshot(spark, path)[0] == "digest"
     assert read_snapshot(spark, str(tmp_path / "none"))[0] == "no manifest"
+
+
+def test_upserts_touch_few_buckets(spark, tmp_path):
+    """Buckets that hold no changed key stay where they are; versions can be read side by side; deleting leaves an empty table."""
+    t = VersionedTable(spark, str(tmp_path / "t"), buckets=8, keep=3)
+    t.replace(spark.createDataFrame([(f"k{i}", 1, "old") for i in range(40)], "k string, seq long, v string"), ["k"])
+    before = t._pointer(1)["parts"]
+    t.upsert(spark.createDataFrame([("k1", 2, "new", 7), ("k1", 3, "newer", 8), ("k2", 0, "late", 9)], "k string, seq long, v string, extra int"), ["k"], "seq")
+    after = t._pointer(2)["parts"]
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) in (1, 2)
+    assert rows(t.read().where("k in ('k1', 'k2', 'k3')")) == [("k1", 3, "newer", 8), ("k2", 1, "old", None), ("k3", 1, "old", None)]
+    assert rows(t.read(1).where("k = 'k1'")) == [("k1", 1, "old")] and t.read().count() == 40
+    with pytest.raises(ValueError):
+        t.upsert(spark.createDataFrame([("x", 1)], "v string, seq long"), ["v"], "seq")
+    t.set_columns(spark.createDataFrame([("k3", "set"), ("none", "x")], "k string, v string"))
+    assert rows(t.read().where("v = 'set'"), "k", "seq") == [("k3", 1)] and t.read().count() == 40
+    t.delete_by(F.col("seq") == 1)
+    assert rows(t.read(), "k") == [("k1",)]
+    t.delete(spark.createDataFrame([("k1",)], "k string"), ["k"])
+    assert t.read().count() == 0 and t.read().columns == ["k", "seq", "v", "extra"] and len(t.versions()) == 3
+    with pytest.raises(FileExistsError):
+        t.files.write(f"{t.base}/_v{t.versions()[-1]:08d}.json", "{}")
+    t.drop()
+    assert not t.exists()
+
+
+def test_snapshot_store_and_restore(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    df = lambda *keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    for i, sha in enumerate(("c1", "c2", "c3")):
+        store.write("p", sha, {"nodes": df("f", sha)}, embed_model="m", embed_dim=3, created_at=float(i))
+    assert [m["head_sha"] for m in store.manifests("p")] == ["c3", "c2", "c1"] and store.has("p", "c2") and not store.has("q", "c2")
+    nodes, edges = VersionedTable(spark, str(tmp_path / "n")), VersionedTable(spark, str(tmp_path / "e"))
+    nodes.replace(df("x"), ["key"])
+    edges.replace(df("y"), ["key"])
+    targets = {"nodes": (nodes, ["key"]), "edges": (edges, ["key"])}
+    assert apply_snapshot(spark, store.path("p", "c2"), targets, "other") == "model" and rows(nodes.read()) == [("x",)]
+    assert apply_snapshot(spark, store.path("p", "c2"), targets, "m", 3) == ""
+    assert rows(nodes.read()) == [("c2",), ("f",)] and edges.read().count() == 0
+    assert store.gc("p", 1) == ["c2", "c1"] and store.read("p", "c1")[0] == "no manifest" and store.read("p", "c3")[0] == ""
