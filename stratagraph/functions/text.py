@@ -53,6 +53,12 @@ def version_key(x: Column) -> Column:
     return F.array(*[F.coalesce(F.regexp_extract(F.get(parts, F.lit(i)), r"^\d+", 0).try_cast("int"), F.lit(0)) for i in range(4)])
 
 
+def letters(x: Column) -> Column:
+    """How often each of the 26 letters is in a text: a vector without a model, for tests and as a stand-in."""
+    low = F.lower(F.coalesce(x, F.lit("")))
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors, added up in DOUBLE; null if one has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

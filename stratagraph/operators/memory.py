@@ -79,6 +79,20 @@ def rank_lexical(query: str, open_claims: DataFrame, now: float, limit: int | No
     return top.limit(limit) if limit is not None else top
 
 
+def rank_lexical_all(queries: DataFrame, open_claims: DataFrame, now: float, limit: int) -> DataFrame:
+    """rank_lexical() for many questions (query): query, id, score, rank; only claims that share a word with it, ties by id.
+
+    Questions and claims meet by their words; a common word's claims are spread over tasks.
+    """
+    from stratagraph.runtime import salted_join
+
+    asked = queries.select("query", F.explode(tokens(F.col("query"))).alias("word"))
+    held = open_claims.select("id", "confidence", "valid_at", F.explode(tokens(F.concat_ws(" ", "subject", "obj", "evidence_span"))).alias("word"))
+    met = salted_join(held, asked, ["word"], ["id"]).groupBy("query", "id", "confidence", "valid_at").agg(F.count("*").alias("overlap"))
+    scored = met.withColumn("score", F.round(F.col("overlap") * F.col("confidence") * recency(now, F.col("valid_at")), 6))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= limit).select("query", "id", "score", "rank")
+
+
 def rank_semantic(hits: DataFrame, open_claims: DataFrame, now: float, limit: int) -> DataFrame:
     """Hits (id, similarity) of a vector search with their claims, by similarity * confidence * recency; unknown ids are dropped."""
     ranked = hits.join(open_claims, "id").withColumn("score", F.round(F.col("similarity") * F.col("confidence") * recency(now, F.col("valid_at")), 6))

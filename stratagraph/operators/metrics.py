@@ -23,6 +23,18 @@ def summary(retrieves: DataFrame) -> DataFrame:
     )
 
 
+def report(retrieves: DataFrame, cache_stats: DataFrame, ingest_stats: DataFrame) -> DataFrame:
+    """One row: retrievals and their average time, hits, misses and hit ratio of the cache, builds, symbols and the last build.
+
+    cache_stats: hits, misses; ingest_stats: symbols, ts. Sums of nothing are 0, the last ts of nothing is null.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    r = summary(retrieves).select(F.col("n").alias("retrieves"), "avg_total_ms")
+    c = cache_stats.agg(total("hits").alias("cache_hits"), total("misses").alias("cache_misses")).withColumn("hit_ratio", F.round(F.coalesce(F.try_divide(F.col("cache_hits"), F.col("cache_hits") + F.col("cache_misses")), F.lit(0.0)), 3))
+    i = ingest_stats.agg(F.count("*").alias("ingests"), total("symbols").alias("symbols"), F.max("ts").alias("last_ingest_ts"))
+    return r.crossJoin(c).crossJoin(i)  # three tables of one row
+
+
 def latest_status(health: DataFrame) -> DataFrame:
     """backend, status, ts of the latest row of each backend (names in lower case without outer blanks; ties by id)."""
     return health.where("backend is not null and ts is not null").groupBy(F.lower(F.trim("backend")).alias("backend")).agg(F.max_by("status", F.struct("ts", "id")).alias("status"), F.max("ts").alias("ts"))
@@ -44,14 +56,22 @@ def efficiency(tools: DataFrame, reads: DataFrame) -> DataFrame:
 def latency_quantiles(rows: DataFrame, by: list[str], x: str) -> DataFrame:
     """by..., n, p50, p95: the median, and the 19th of the 20-quantiles of the exclusive method, with fewer than 20 values the maximum.
 
-    Only the rows at the ranks that matter are picked out of a sorted window, so no group is collected.
+    Values are counted first, then cut into ranges of their own order of magnitude. The counts of the ranges, a few hundred for
+    a group, say how many values lie before each, so that ranks are numbered within a range and no group is sorted in one task.
     """
     v = rows.select(*by, number(F.col(x)).alias("x")).where("x is not null")
-    w = W.partitionBy(*by)
-    ranked = v.withColumn("r", F.row_number().over(w.orderBy("x"))).withColumn("n", F.count("*").over(w))
+    # Sixteenths of powers of two: the range of a value grows with it. Zero has its own.
+    scale = F.when(F.col("x") > 0, F.floor(16 * F.log2("x")).cast("int")).otherwise(F.lit(-1 << 30))
+    counted = v.groupBy(*by, "x").agg(F.count("*").alias("c")).withColumn("range", scale)
+    ranges = counted.groupBy(*by, "range").agg(F.sum("c").alias("in_range"))
+    before = F.sum("in_range").over(W.partitionBy(*by).orderBy("range")) - F.col("in_range")
+    placed = ranges.select(*by, "range", before.alias("before"), F.sum("in_range").over(W.partitionBy(*by)).alias("n"))
+    upto = F.col("before") + F.sum("c").over(W.partitionBy(*by, "range").orderBy("x"))
+    # A value holds the ranks from r - c + 1 to r.
+    ranked = counted.join(placed, [*by, "range"]).withColumn("r", upto)
     spot = 0.95 * (F.col("n") + 1)
     j, part = F.floor(spot), spot - F.floor(spot)
-    at = lambda k: F.max(F.when(F.col("r") == k, F.col("x")))
+    at = lambda k: F.max(F.when((k > F.col("r") - F.col("c")) & (k <= F.col("r")), F.col("x")))
     out = ranked.groupBy(*by, "n").agg(at(F.floor((F.col("n") + 1) / 2)).alias("a"), at(F.floor(F.col("n") / 2) + 1).alias("b"), at(j).alias("c"), at(j + 1).alias("d"), F.max("x").alias("m"))
     return out.select(*by, "n", F.round((F.col("a") + F.col("b")) / 2, 6).alias("p50"), F.round(F.when(F.col("n") < 20, F.col("m")).otherwise(F.col("c") * (1 - part) + F.col("d") * part), 6).alias("p95"))
 

@@ -7,8 +7,8 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.functions.text import cosine, normal_prompt
-from stratagraph.operators import ingest, memory, metrics, retrieval
+from stratagraph.functions.text import cosine, letters, normal_prompt
+from stratagraph.operators import ingest, memory, metrics, pack, retrieval
 from stratagraph.operators.snapshots import snapshot_order
 from stratagraph.runtime import bounded_broadcast, cut
 from stratagraph.sources.tables import canonical_json, table
@@ -216,9 +216,46 @@ def q_retrieve_pack(spark: SparkSession, d: str) -> DataFrame:
     return code.unionByName(eps).unionByName(claims)
 
 
+#: Questions that are asked of the whole memory, and the similarity from which claims count as the same.
+QUESTIONS, SAME = (QUERY, "where is the ledger cursor flushed when the batch is late", "warum verwirft der Dienst die Zeilen"), 0.995
+
+
+def _open_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Open claims, each id once."""
+    return memory.current(_history(spark, d)).groupBy("id").agg(F.min(F.struct("subject", "predicate", "obj", "polarity", "confidence", "evidence_span", "valid_at", "recorded_at", "head_sha")).alias("r")).select("id", "r.*")
+
+
+def q_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """Code, episodes and claims for three questions, all embedded by their letters: real paths, texts and flags."""
+    c = _chunk_rows(spark, d).where("text is not null")
+    code = c.select(F.col("chunk_id").alias("id"), F.col("file_path").alias("path"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), "kind", F.col("sym_name").alias("name"), "text", ingest.looks_generated(F.col("file_path"), F.col("text")).alias("generated"))
+    eps = _episodes(spark, d).where("prompt is not null").select(F.col("id").cast("string").alias("id"), "prompt", "plan", F.lit(None).cast("string").alias("patch"), "verdict")
+    asked = spark.createDataFrame([(q,) for q in QUESTIONS], "query string")
+    return pack.retrieve(asked, code, eps, _open_claims(spark, d), NOW, letters).select("query", "section", "rank", "id", "score")
+
+
+def q_claims_lexical_all(spark: SparkSession, d: str) -> DataFrame:
+    """The claims that three questions find by shared words, where claims have no vectors."""
+    return memory.rank_lexical_all(spark.createDataFrame([(q,) for q in QUESTIONS], "query string"), _open_claims(spark, d), NOW, 5)
+
+
+def q_claim_collapse(spark: SparkSession, d: str) -> DataFrame:
+    """Claims recorded last that say what an older open claim says in other words, by their letters."""
+    o = cut(pack.embedded(_open_claims(spark, d), memory.claim_text(*[F.col(x) for x in ("subject", "predicate", "obj", "polarity", "evidence_span")]), letters))
+    late = F.col("recorded_at") >= WHEN
+    return pack.near_claims(o.where(late), o.where(~late), SAME)
+
+
 # Metrics
 
 
+def q_metrics_report(spark: SparkSession, d: str) -> DataFrame:
+    """The whole summary: retrievals, the cache's hits and misses (of the current chunks' texts), and builds (of the manifests)."""
+    split = q_embed_cache_split(spark, d).select(F.col("hit").cast("int").alias("hits"), (~F.col("hit")).cast("int").alias("misses"))
+    builds = table(spark, d, "snapshot_manifest").where("counts is not null").select(F.get_json_object("counts", "$.nodes").cast("long").alias("symbols"), F.col("created_at").alias("ts"))
+    return metrics.report(table(spark, d, "retrieves"), split, builds)
+
+
 def q_metrics_summary(spark: SparkSession, d: str) -> DataFrame:
     return metrics.summary(table(spark, d, "retrieves"))
 
@@ -436,6 +473,23 @@ d AS (SELECT coalesce(a.project, b.project) AS project, coalesce(a.path, b.path)
 """
 
 
+def _letters(x: str) -> str:
+    return "CAST([" + ", ".join(f"len({x}) - len(replace({x}, '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz") + "] AS DOUBLE[])"
+
+
+_GENERATED = "coalesce(len(list_intersect(string_split(lower(file_path), '/'), ['generated', '__generated__', 'openapi-gen', 'swagger-gen'])) > 0 OR regexp_matches(lower(file_path), '(\\.generated\\.ts|\\.generated\\.js|\\.g\\.ts|\\.g\\.dart)$') OR " + " OR ".join(f"contains(lower(substr(text, 1, 2048)), '{m}')" for m in ingest.GENERATED_MARKERS) + ", false)"
+_ENTRY = "(regexp_extract(lower(file_path), '[^/]*$') IN (" + ", ".join(f"'{e}'" for e in retrieval.ENTRYPOINTS) + ") OR " + " OR ".join(f"ends_with(lower(file_path), '{e}')" for e in retrieval.ENTRYPOINT_SUFFIXES) + ")"
+_OPEN = """
+oc AS (SELECT id, r.* FROM (SELECT id, min(struct_pack(subject, predicate, obj, polarity, confidence, evidence_span, valid_at, recorded_at)) AS r FROM h WHERE valid_to IS NULL GROUP BY id)),
+ox AS (SELECT *, lower(subject || CASE WHEN polarity THEN ' ' ELSE ' not ' END || predicate || ' ' || obj || CASE WHEN evidence_span <> '' THEN chr(10) || chr(10) || evidence_span ELSE '' END) AS low FROM oc)
+"""
+_QS = "qs AS (SELECT unnest([" + ", ".join(f"'{q}'" for q in QUESTIONS) + "]) AS query)"
+
+
+def _ranked(source: str, k: int, by: str = "score DESC, id", part: str = "query") -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {by}) AS rank FROM {source}) WHERE rank <= {k}"
+
+
 def _sql_value(x: object) -> str:
     return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower()
 
@@ -524,3 +578,39 @@ SQL["q_retrieve_pack"] = (
     "p2 AS (SELECT 'episodes' AS section, row_number() OVER (ORDER BY id) AS rank, CAST(id AS VARCHAR) AS id, 0.0 AS score FROM (" + _EP + _SHOWN + ")), "
     "p3 AS (SELECT 'claims' AS section, row_number() OVER (ORDER BY score DESC NULLS LAST, subject, predicate, obj, polarity) AS rank, concat_ws(' ', subject, predicate, obj) AS id, score FROM (" + _H + _LEX + ")) SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3"
 )
+SQL["q_retrieve"] = (
+    _H.rstrip() + ", " + _OPEN + ", " + _QS + f""", qv AS (SELECT query, {_letters("lower(query)")} AS x FROM qs),
+ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC NULLS LAST, text DESC) AS k FROM chunks WHERE chunk_id IS NOT NULL) WHERE k = 1 AND text IS NOT NULL),
+cv AS (SELECT chunk_id AS id, {_GENERATED} AS gen, {_ENTRY} AS entry, {_letters("lower(text)")} AS x FROM ch),
+cs AS (SELECT query, id, gen, entry, round(list_cosine_similarity(qv.x, cv.x), 6) AS score FROM qv, cv WHERE list_sum(cv.x) > 0),
+c1 AS ({_ranked("cs", 16)}),
+c2 AS (SELECT query, id, rank AS old, round(score - CASE WHEN gen THEN 0.15 ELSE 0 END + CASE WHEN entry THEN 0.05 ELSE 0 END, 6) AS score FROM c1),
+c3 AS ({_ranked("c2", 8, "score DESC, old")}),
+ep AS (SELECT CAST(doc_id AS VARCHAR) AS id, text AS prompt, CASE WHEN doc_id % 10 < 3 THEN 'idle' WHEN doc_id % 2 = 0 THEN 'pass' ELSE 'fail' END AS verdict, CASE WHEN doc_id % 2 = 1 THEN kind END AS plan FROM documents WHERE text IS NOT NULL),
+el AS (SELECT *, lower('PROMPT:' || chr(10) || prompt || CASE WHEN plan <> '' THEN chr(10) || chr(10) || 'PLAN:' || chr(10) || plan ELSE '' END || chr(10) || chr(10) || 'VERDICT: ' || verdict) AS low FROM ep),
+ev AS (SELECT id, verdict, {_NORM.format("prompt")} AS norm, {_letters("low")} AS x FROM el),
+es AS (SELECT query, id, norm, verdict, round(list_cosine_similarity(qv.x, ev.x), 6) AS score FROM qv, ev),
+e1 AS ({_ranked("es", 15)}),
+e2 AS (SELECT query, id, score, rank AS old FROM e1 WHERE verdict <> 'idle' AND norm <> {_NORM.format("query")} QUALIFY row_number() OVER (PARTITION BY query, norm ORDER BY rank) = 1),
+e3 AS ({_ranked("e2", 5, "old")}),
+ov AS (SELECT id, confidence, valid_at, {_letters("low")} AS x FROM ox),
+os AS (SELECT query, id, confidence, valid_at, round(list_cosine_similarity(qv.x, ov.x), 6) AS sim, sim AS score FROM qv, ov),
+o1 AS ({_ranked("os", 15)}),
+o2 AS (SELECT query, id, round(sim * confidence * {_DECAY}, 6) AS score FROM o1),
+o3 AS ({_ranked("o2", 5)})
+SELECT query, 'code' AS section, rank, id, score FROM c3 UNION ALL SELECT query, 'episodes', rank, id, score FROM e3 UNION ALL SELECT query, 'claims', rank, id, score FROM o3"""
+)
+SQL["q_claims_lexical_all"] = _H.rstrip() + ", " + _OPEN + ", " + _QS + f""",
+m AS (SELECT query, id, confidence, valid_at, len(list_intersect(list_distinct({_TOK.format("concat_ws(' ', subject, obj, evidence_span)")}), list_distinct({_TOK.format("query")}))) AS overlap FROM oc, qs),
+s AS (SELECT query, id, round(overlap * confidence * {_DECAY}, 6) AS score FROM m WHERE overlap > 0)
+SELECT query, id, score, rank FROM ({_ranked("s", 5)})"""
+SQL["q_claim_collapse"] = _H.rstrip() + ", " + _OPEN + f""", v AS (SELECT *, {_letters("low")} AS x FROM ox),
+p AS (SELECT a.id AS query, b.id, round(list_cosine_similarity(a.x, b.x), 6) AS score, a.subject = b.subject AND a.predicate = b.predicate AND a.obj = b.obj AS same FROM v a JOIN v b ON a.polarity = b.polarity WHERE a.recorded_at >= {WHEN} AND b.recorded_at < {WHEN})
+SELECT query AS id, id AS near_id, score FROM ({_ranked("p", 1)}) WHERE score >= {SAME} AND NOT same"""
+SQL["q_metrics_report"] = """WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC) AS k FROM retrieves) WHERE k = 1),
+    c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC NULLS LAST, text DESC) AS k FROM chunks WHERE chunk_id IS NOT NULL) WHERE k = 1 AND text IS NOT NULL),
+    x AS (SELECT EXISTS (SELECT 1 FROM embed_cache e WHERE e.chunk_hash = sha256(c.text) AND model = 'mini-64' AND dense IS NOT NULL) AS hit FROM c)
+    SELECT (SELECT count(*) FROM r) AS retrieves, (SELECT round(coalesce(avg(total_ms) FILTER (total_ms >= 0 AND NOT isnan(total_ms) AND NOT isinf(total_ms)), 0), 1) FROM r) AS avg_total_ms,
+      (SELECT CAST(count(*) FILTER (hit) AS BIGINT) FROM x) AS cache_hits, (SELECT CAST(count(*) FILTER (NOT hit) AS BIGINT) FROM x) AS cache_misses, (SELECT round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 3) FROM x) AS hit_ratio,
+      (SELECT count(*) FROM snapshot_manifest WHERE counts IS NOT NULL) AS ingests, (SELECT CAST(coalesce(sum(CAST(json_extract_string(counts, '$.nodes') AS BIGINT)), 0) AS BIGINT) FROM snapshot_manifest WHERE counts IS NOT NULL) AS symbols,
+      (SELECT max(created_at) FROM snapshot_manifest WHERE counts IS NOT NULL) AS last_ingest_ts"""
