@@ -44,15 +44,15 @@ def looks_generated(path: Column, text: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def symbol_chunks(symbols: DataFrame) -> DataFrame:
-    """chunk_id, path, name, kind, start, end, text of symbols (path, name, kind, start, end, snippet).
+def symbol_chunks(symbols: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """chunk_id, path, name, kind, start, end, text (and the columns also) of symbols (path, name, kind, start, end, snippet).
 
     A header, the first three lines that aren't blank, and the first 1500 characters of the body.
     """
     lines = F.slice(F.filter(F.split("snippet", "\n"), lambda x: F.trim(x) != ""), 1, SIGNATURE)
     signature = F.when(F.size(lines) > 0, F.concat(F.lit("SIGNATURE\n"), F.array_join(lines, "\n")))
     text = F.concat_ws("\n", F.concat(F.lit("FILE "), "path"), F.concat(F.lit("KIND "), "kind", F.lit(" NAME "), "name"), signature, F.substring("snippet", 1, BODY))
-    return symbols.select(chunk_id(F.col("path"), F.concat_ws("#", "name", "start")).alias("chunk_id"), "path", "name", "kind", "start", "end", text.alias("text"))
+    return symbols.select(chunk_id(F.col("path"), F.concat_ws("#", "name", "start")).alias("chunk_id"), *(also or []), "path", "name", "kind", "start", "end", text.alias("text"))
 
 
 def sanity(chunks: DataFrame) -> DataFrame:
