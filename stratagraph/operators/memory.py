@@ -106,21 +106,31 @@ def claim_text(subject: Column, predicate: Column, obj: Column, polarity: Column
 
 
 def episodes_dedup(episodes: DataFrame) -> DataFrame:
-    """Episodes (id, ts, prompt, plan, verdict, tags, head_sha) as adding them one by one in order of (ts, id) leaves them.
+    """Episodes (id, ts, prompt, plan, verdict, tags, head_sha, and patch and meta if there) as adding them one by one in order of (ts, id) leaves them.
 
     The same trimmed prompt is one episode: its first id, the last arrival's ts, the first plan, verdict and head_sha that
-    isn't null or empty (the first arrival's are kept as they are), and all tags in order of their first arrival.
+    isn't null or empty (the first arrival's are kept as they are), and all tags in order of their first arrival. patch goes
+    like plan; of meta, a map of strings, the last value of each key counts.
     """
     seq = F.struct("ts", "id")
 
     def first_full(c: str) -> Column:
         return F.coalesce(F.min_by(c, F.when(F.col(c) != "", seq)), F.min_by(c, seq)).alias(c)
 
+    more = [first_full("patch")] if "patch" in episodes.columns else []
+    if "meta" in episodes.columns:
+        episodes = episodes.withColumn("_entries", F.coalesce(F.map_entries("meta"), F.array().cast("array<struct<key:string,value:string>>")))
+        more.append(F.sort_array(F.collect_list(F.struct("ts", "id", "_entries"))).alias("_all"))
     tag_lists = F.transform(F.sort_array(F.collect_list(F.struct("ts", "id", "tags"))), lambda x: x["tags"])
-    return episodes.where("prompt is not null").groupBy(content_hash(F.col("prompt")).alias("content_hash")).agg(
+    out = episodes.where("prompt is not null").groupBy(content_hash(F.col("prompt")).alias("content_hash")).agg(
         F.min_by("id", seq).alias("id"), F.max_by("ts", seq).alias("ts"), F.min_by("prompt", seq).alias("prompt"), first_full("plan"), first_full("verdict"), first_full("head_sha"),
-        F.array_distinct(F.flatten(tag_lists)).alias("tags"), F.count("*").alias("n"),
+        F.array_distinct(F.flatten(tag_lists)).alias("tags"), F.count("*").alias("n"), *more,
     )
+    if "_all" not in out.columns:
+        return out
+    entries = F.flatten(F.col("_all._entries"))
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return out.withColumn("meta", F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))).drop("_all")
 
 
 def episodes_compact(episodes: DataFrame) -> DataFrame:
