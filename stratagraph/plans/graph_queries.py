@@ -145,6 +145,41 @@ def q_resolve_stats(spark: SparkSession, d: str) -> DataFrame:
     return q_resolve(spark, d).groupBy("type", "tier").agg(F.count("*").alias("n"))
 
 
+def q_resolve_receiver(spark: SparkSession, d: str) -> DataFrame:
+    """Resolution where calls say what type they are made on.
+
+    The tables have no receivers, so each called name gets one: the least other name that the first file defining it defines.
+    """
+    n, e, _ = tables(spark, d)
+    defs = cut(resolve.definition_index(n, e))
+    home = defs.groupBy("project", "name").agg(F.min("def_file").alias("def_file"))
+    beside = home.join(defs.select("project", "def_file", F.col("name").alias("other")), ["project", "def_file"]).where("other <> name").groupBy("project", "name").agg(F.min("other").alias("r"))
+    refs = resolve.placeholder_edges(n, e).join(beside, ["project", "name"], "left").withColumn("receiver_type", F.when(F.col("type") == "CALLS", F.col("r"))).drop("r")
+    return resolve.resolve(refs, defs, resolve.relative_imports(e)).drop("assembly")
+
+
+def _rewritten(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    n, e, _ = tables(spark, d)
+    n, e = cut(n), cut(e)
+    return n, resolve.rewrite(e, resolve.resolve(resolve.placeholder_edges(n, e), resolve.definition_index(n, e), resolve.relative_imports(e)))
+
+
+def q_resolve_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    """All edges after resolved ones have been written back."""
+    return _rewritten(spark, d)[1].select(*graph.EDGE, "args", "resolved", "confidence", "first_seen_ord")
+
+
+def q_orphans_rewritten(spark: SparkSession, d: str) -> DataFrame:
+    """Placeholders that nothing points to once the edges have been written back."""
+    return resolve.orphan_placeholders(*_rewritten(spark, d))
+
+
+def q_alias_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Further names of what files import: here the imports' own text is the path they mean."""
+    n, e, _ = tables(spark, d)
+    return resolve.alias_edges(resolve.relative_imports(e).withColumn("module", F.col("target")), resolve.import_aliases(n))
+
+
 def q_orphans(spark: SparkSession, d: str) -> DataFrame:
     n, e, _ = tables(spark, d)
     return resolve.orphan_placeholders(n, e)
@@ -167,7 +202,7 @@ QUERIES = {
     "q_importers": q_importers, "q_dependencies": q_dependencies, "q_callers_depth2": _callers_depth(2), "q_callers_depth3": _callers_depth(3), "q_callees_depth2": q_callees_depth2,
     "q_neighbors_2": q_neighbors_2, "q_upsert_nodes": q_upsert_nodes, "q_upsert_edges": q_upsert_edges, "q_missing_endpoints": q_missing_endpoints, "q_delete_file": q_delete_file,
     "q_vacuum_before": _vacuum(before_ord=3), "q_vacuum_age": _vacuum(before_at=BEFORE), "q_vacuum_all": _vacuum(drop_all=True), "q_at_sha": q_at_sha, "q_callers_at_sha": q_callers_at_sha,
-    "q_drift": q_drift, "q_node_counts": q_node_counts, "q_resolve": q_resolve, "q_resolve_stats": q_resolve_stats, "q_orphans": q_orphans, "q_import_alias": q_import_alias, "q_file_project": q_file_project,
+    "q_drift": q_drift, "q_node_counts": q_node_counts, "q_resolve": q_resolve, "q_resolve_stats": q_resolve_stats, "q_resolve_receiver": q_resolve_receiver, "q_resolve_rewrite": q_resolve_rewrite, "q_orphans_rewritten": q_orphans_rewritten, "q_alias_edges": q_alias_edges, "q_orphans": q_orphans, "q_import_alias": q_import_alias, "q_file_project": q_file_project,
 }
 
 _G = """
@@ -238,6 +273,48 @@ rs AS (SELECT project, type, file, placeholder, name, arity, tier, CASE tier WHE
     WHEN 'unique' THEN CASE WHEN all_n = 1 THEN all_key ELSE all_fit END END AS target, CASE WHEN tier IN ('same_file', 'imported') THEN 'high' WHEN tier = 'unique' THEN 'medium' END AS confidence FROM rt)
 """
 
+# As _RESOLVE, with a receiver for each called name and the tier that goes by it.
+_RECEIVER = """,
+di AS (SELECT df.project, df.file AS def_file, sy.key, sy.name, sy.params FROM df JOIN sy USING (project, key) WHERE df.invalid_sha IS NULL AND sy.name IS NOT NULL),
+hm AS (SELECT project, name, min(def_file) AS def_file FROM di GROUP BY ALL),
+rc AS (SELECT hm.project, hm.name, min(b.name) AS receiver FROM hm JOIN di b ON b.project = hm.project AND b.def_file = hm.def_file AND b.name <> hm.name GROUP BY ALL),
+r0 AS (SELECT DISTINCT e.project, e.type, e.src_key AS file, e.dst_key AS placeholder, p.name, CASE WHEN e.type = 'CALLS' THEN coalesce(e.args, -1) ELSE -1 END AS arity
+  FROM e LEFT JOIN n p ON p.project = e.project AND p.label = 'Symbol' AND p.key = e.dst_key
+  WHERE e.type IN ('CALLS', 'INJECTS', 'REFERENCES') AND e.src_label = 'File' AND e.dst_label = 'Symbol' AND e.invalid_sha IS NULL AND starts_with(e.dst_key, 'name::')),
+rf AS (SELECT r0.*, CASE WHEN type = 'CALLS' THEN receiver END AS receiver FROM r0 LEFT JOIN rc USING (project, name)),
+im AS (SELECT project, src_key AS file, dst_key AS target FROM e WHERE type = 'IMPORTS' AND dst_label = 'File' AND invalid_sha IS NULL),
+cs AS (SELECT rf.*, di.key, di.def_file, di.params, coalesce(arity >= 0 AND di.params = arity, false) AS fit, di.def_file = rf.file AS same,
+    EXISTS (SELECT 1 FROM im WHERE im.project = rf.project AND im.file = rf.file AND im.target = di.def_file) AS imp, EXISTS (SELECT 1 FROM di o WHERE o.project = rf.project AND o.name = rf.receiver AND o.def_file = di.def_file) AS own
+  FROM rf LEFT JOIN di ON rf.project = di.project AND rf.name = di.name),
+ag AS (SELECT project, type, file, placeholder, name, arity,
+    count(*) FILTER (same) AS same_n, min(key) FILTER (same) AS same_key, min(key) FILTER (same AND fit) AS same_fit,
+    count(key) FILTER (imp) AS imp_n, min(key) FILTER (imp) AS imp_key, count(key) FILTER (imp AND fit) AS imp_fn, min(key) FILTER (imp AND fit) AS imp_fit,
+    count(key) FILTER (own) AS own_n, min(key) FILTER (own) AS own_key, count(key) FILTER (own AND fit) AS own_fn, min(key) FILTER (own AND fit) AS own_fit,
+    count(key) AS all_n, min(key) AS all_key, count(key) FILTER (fit) AS all_fn, min(key) FILTER (fit) AS all_fit FROM cs GROUP BY ALL),
+rt AS (SELECT *, CASE WHEN name IS NULL OR name = '' THEN 'external' WHEN same_n > 0 THEN 'same_file' WHEN imp_n > 0 THEN CASE WHEN imp_n = 1 OR imp_fn = 1 THEN 'imported' ELSE 'ambiguous' END
+    WHEN own_n = 1 OR own_fn = 1 THEN 'receiver' WHEN all_n > 0 THEN CASE WHEN all_n = 1 OR all_fn = 1 THEN 'unique' ELSE 'ambiguous' END ELSE 'external' END AS tier FROM ag)
+SELECT project, type, file, placeholder, name, arity, tier, CASE tier WHEN 'same_file' THEN coalesce(same_fit, same_key) WHEN 'imported' THEN CASE WHEN imp_n = 1 THEN imp_key ELSE imp_fit END WHEN 'receiver' THEN CASE WHEN own_n = 1 THEN own_key ELSE own_fit END
+    WHEN 'unique' THEN CASE WHEN all_n = 1 THEN all_key ELSE all_fit END END AS target, CASE WHEN tier IN ('same_file', 'imported', 'receiver') THEN 'high' WHEN tier = 'unique' THEN 'medium' END AS confidence FROM rt
+"""
+
+_REWRITE = _RESOLVE + """,
+dn2 AS (SELECT project, type, file AS src_key, placeholder AS dst_key, target, confidence FROM rs WHERE target IS NOT NULL),
+kp AS (SELECT e.* FROM e WHERE NOT (src_label = 'File' AND dst_label = 'Symbol' AND EXISTS (SELECT 1 FROM dn2 WHERE dn2.project = e.project AND dn2.type = e.type AND dn2.src_key = e.src_key AND dn2.dst_key = e.dst_key))),
+fr AS (SELECT project, type, src_key, target, min(confidence) AS c FROM dn2 GROUP BY ALL),
+rw AS (SELECT coalesce(kp.project, fr.project) AS project, coalesce(kp.type, fr.type) AS type, coalesce(kp.src_label, 'File') AS src_label, coalesce(kp.src_key, fr.src_key) AS src_key, coalesce(kp.dst_label, 'Symbol') AS dst_label, coalesce(kp.dst_key, fr.target) AS dst_key,
+    args, CASE WHEN fr.c IS NOT NULL THEN true ELSE resolved END AS resolved, coalesce(fr.c, confidence) AS confidence, first_seen_ord, kp.invalid_sha
+  FROM kp FULL JOIN fr ON kp.project = fr.project AND kp.type = fr.type AND kp.src_label = 'File' AND kp.src_key = fr.src_key AND kp.dst_label = 'Symbol' AND kp.dst_key = fr.target)
+"""
+
+_ALIAS = r""",
+f AS (SELECT project, key AS file, regexp_extract(key, '[^/]*$') AS base FROM n WHERE label = 'File' AND invalid_sha IS NULL),
+g AS (SELECT *, CASE WHEN regexp_matches(base, '.\.[^.]*$') THEN regexp_replace(base, '\.[^.]*$', '') ELSE base END AS stem, substr(file, 1, greatest(length(file) - length(base) - 1, 0)) AS dir FROM f),
+pk AS (SELECT project, dir FROM g WHERE base = '__init__.py' AND dir <> ''),
+cl AS (SELECT g.project, g.file, g.dir, stem AS dotted FROM g UNION ALL
+  SELECT cl.project, cl.file, CASE WHEN contains(cl.dir, '/') THEN regexp_replace(cl.dir, '/[^/]*$', '') ELSE '' END, regexp_extract(cl.dir, '[^/]*$') || '.' || dotted FROM cl JOIN pk ON pk.project = cl.project AND pk.dir = cl.dir),
+al AS (SELECT project, file, file AS alias FROM g UNION SELECT project, file, stem FROM g UNION SELECT project, file, arg_max(dotted, length(dotted)) FROM cl GROUP BY ALL)
+"""
+
 _VACUUM = """,
 d AS (SELECT project, CASE label WHEN 'File' THEN 'files' ELSE 'symbols' END AS what FROM n WHERE label IN ('File', 'Symbol') AND invalid_sha IS NOT NULL AND {0} UNION ALL SELECT project, 'edges' FROM e WHERE invalid_sha IS NOT NULL AND {0})
 SELECT project, count(*) FILTER (what = 'files') AS files, count(*) FILTER (what = 'symbols') AS symbols, count(*) FILTER (what = 'edges') AS edges FROM d GROUP BY project
@@ -288,14 +365,13 @@ UNION ALL SELECT project, 'edge', type, src_key, concat_ws('|', dst_label, dst_k
     "q_vacuum_all": _G + _VACUUM.format("true"),
     "q_resolve": _G + _RESOLVE + "SELECT * FROM rs",
     "q_resolve_stats": _G + _RESOLVE + "SELECT type, tier, count(*) AS n FROM rs GROUP BY ALL",
+    "q_resolve_receiver": _G + _RECEIVER,
+    "q_resolve_rewrite": _G + _REWRITE + "SELECT project, type, src_label, src_key, dst_label, dst_key, args, resolved, confidence, first_seen_ord FROM rw",
+    "q_orphans_rewritten": _G + _REWRITE + """SELECT project, key FROM n WHERE label = 'Symbol' AND starts_with(key, 'name::') AND invalid_sha IS NULL
+        AND NOT EXISTS (SELECT 1 FROM rw WHERE rw.project = n.project AND rw.dst_key = n.key AND rw.dst_label = 'Symbol' AND rw.invalid_sha IS NULL AND rw.type IN ('CALLS', 'INJECTS', 'REFERENCES'))""",
+    "q_alias_edges": _G + _ALIAS + "SELECT DISTINCT e.project, e.src_key AS file, alias FROM e JOIN al ON al.project = e.project AND al.file = e.dst_key WHERE e.type = 'IMPORTS' AND e.dst_label = 'File' AND e.invalid_sha IS NULL AND alias <> e.dst_key",
     "q_orphans": _G + "SELECT project, key FROM n WHERE label = 'Symbol' AND starts_with(key, 'name::') AND invalid_sha IS NULL AND NOT EXISTS (SELECT 1 FROM e WHERE e.project = n.project AND e.dst_key = n.key AND e.dst_label = 'Symbol' AND e.invalid_sha IS NULL AND e.type IN ('CALLS', 'INJECTS', 'REFERENCES'))",
-    "q_import_alias": _G + r""",
-f AS (SELECT project, key AS file, regexp_extract(key, '[^/]*$') AS base FROM n WHERE label = 'File' AND invalid_sha IS NULL),
-g AS (SELECT *, CASE WHEN regexp_matches(base, '.\.[^.]*$') THEN regexp_replace(base, '\.[^.]*$', '') ELSE base END AS stem, substr(file, 1, greatest(length(file) - length(base) - 1, 0)) AS dir FROM f),
-pk AS (SELECT project, dir FROM g WHERE base = '__init__.py' AND dir <> ''),
-cl AS (SELECT g.project, g.file, g.dir, stem AS dotted FROM g UNION ALL
-  SELECT cl.project, cl.file, CASE WHEN contains(cl.dir, '/') THEN regexp_replace(cl.dir, '/[^/]*$', '') ELSE '' END, regexp_extract(cl.dir, '[^/]*$') || '.' || dotted FROM cl JOIN pk ON pk.project = cl.project AND pk.dir = cl.dir)
-SELECT project, file, file AS alias FROM g UNION SELECT project, file, stem FROM g UNION SELECT project, file, arg_max(dotted, length(dotted)) FROM cl GROUP BY ALL""",
+    "q_import_alias": _G + _ALIAS + "SELECT * FROM al",
     "q_file_project": _G + """,
 f AS (SELECT project, key AS file FROM n WHERE label = 'File' AND invalid_sha IS NULL),
 dr AS (SELECT DISTINCT project, array_to_string(string_split(file, '/')[1:i], '/') AS root FROM (SELECT project, file, unnest(range(1, len(string_split(file, '/')))) AS i FROM f)),
