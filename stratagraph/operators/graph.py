@@ -306,6 +306,14 @@ def delete_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, sha: str,
     return mark(n), mark(e)
 
 
+def remove_files(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Takes files (project, file) and every edge that touches them out, without a trace; what they defined stays."""
+    gone = files.select("project", F.lit("File").alias("label"), F.col("file").alias("key")).distinct()
+    ends = lambda s: gone.select("project", F.col("label").alias(f"{s}_label"), F.col("key").alias(f"{s}_key"))
+    kept = salted_join(edges, ends("src"), ["project", "src_label", "src_key"], ["dst_key"], "left_anti")
+    return nodes.join(gone, NODE, "left_anti"), salted_join(kept, ends("dst"), ["project", "dst_label", "dst_key"], ["src_key"], "left_anti").select(*edges.columns)
+
+
 def vacuum(nodes: DataFrame, edges: DataFrame, *, before_ord: int | None = None, before_at: float | None = None, drop_all: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Removes tombstoned files, symbols and edges; returns nodes and edges left and the counts per project.
 

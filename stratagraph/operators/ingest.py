@@ -21,6 +21,8 @@ GENERATED_MARKERS = ("@generated", "auto-generated", "autogenerated", "code gene
 GENERATED_PARTS = ("generated", "__generated__", "openapi-gen", "swagger-gen")
 GENERATED_SUFFIXES = (".generated.ts", ".generated.js", ".g.ts", ".g.dart")
 SAMPLE, LONGEST_LINE, MEAN_LINE, HEADER = 4096, 2000, 200, 2048
+#: Leading digits that the hashes of a bucket share, at each level of a digest.
+DIGEST_LEVELS = (6, 3, 0)
 #: Characters of a symbol's body, of a file without symbols, and signature lines of a chunk.
 BODY, WHOLE, SIGNATURE = 1500, 6000, 3
 
@@ -69,6 +71,25 @@ def health_check(counts: DataFrame) -> DataFrame:
     return counts.withColumn("rebuild", (F.col("files") > 1.2 * F.col("prior_files")) & (F.col("symbols") < 0.5 * F.col("files")) & (F.col("symbols") > 0))
 
 
+def available(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """project, head_sha, at, is_local: the snapshots of two places, each once; what is here counts, not what is there as well."""
+    rows = local.select("project", "head_sha", "at", F.lit(True).alias("l")).unionByName(remote.select("project", "head_sha", "at", F.lit(False).alias("l")))
+    return rows.groupBy("project", "head_sha").agg(F.coalesce(F.min(F.when(F.col("l"), F.col("at"))), F.min("at")).alias("at"), F.bool_or("l").alias("is_local"))
+
+
+def pending(order: DataFrame, state: DataFrame, changes: DataFrame) -> DataFrame:
+    """project, head_sha, last_sha, behind, changed, deleted: how far what was read last lies behind each project's head.
+
+    order: snapshots (project, head_sha, idx); state: project, sha; changes: delta() with project. behind counts snapshots, all
+    of them where nothing was read or its commit isn't known.
+    """
+    w = order.groupBy("project").agg(F.max("idx").alias("m"), F.max_by("head_sha", "idx").alias("head_sha"))
+    at = state.join(order, (state["project"] == order["project"]) & (state["sha"] == order["head_sha"]), "left").select(state["project"], F.col("sha").alias("last_sha"), "idx")
+    kinds = changes.groupBy("project").agg(F.count_if(F.col("kind") == "changed").alias("changed"), F.count_if(F.col("kind") == "deleted").alias("deleted"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return w.join(at, "project", "left").join(kinds, "project", "left").select("project", "head_sha", "last_sha", (F.col("m") - F.coalesce("idx", F.lit(0))).alias("behind"), none("changed"), none("deleted"))
+
+
 def delta(base: DataFrame, head: DataFrame, key: list[str], version: str) -> DataFrame:
     """key..., kind: 'changed' for new or different files, 'deleted' for those gone, from two manifests (key, version)."""
     both = base.select(*key, F.col(version).alias("_b"), F.lit(True).alias("_in_b")).join(head.select(*key, F.col(version).alias("_h"), F.lit(True).alias("_in_h")), key, "full_outer")
@@ -131,12 +152,17 @@ def ancestor_snapshot(commits: DataFrame, available: DataFrame) -> DataFrame:
 def digest(rows: DataFrame, by: list[str], line: Column) -> DataFrame:
     """by..., digest: a hash of each group's rows that doesn't depend on their order.
 
-    A tree of hashes: rows are hashed, the sorted hashes of each of 4096 buckets are hashed, then the sorted hashes of the
-    buckets. No task holds more than a bucket.
+    A tree of hashes: rows are hashed, and the sorted hashes that begin with the same DIGEST_LEVELS hexadecimal digits are
+    hashed again, level by level. The inner levels join 4,096 hashes at most, and the lowest one has 16 million buckets a group,
+    so that no task holds more than a group's rows divided by that.
     """
-    h = rows.select(*by, F.sha2(line, 256).alias("h")).withColumn("b", F.substring("h", 1, 3))
-    level = h.groupBy(*by, "b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    return level.groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("b", "h"))), ""), 256).alias("digest"))
+    level = rows.select(*by, F.lit("").alias("b"), F.sha2(line, 256).alias("h"))
+    first = True
+    for digits in DIGEST_LEVELS:
+        at = F.substring("h" if first else "b", 1, digits) if digits else F.lit("")
+        level = level.withColumn("at", at).groupBy(*by, "at").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("b", "h"))), ""), 256).alias("h")).withColumnRenamed("at", "b")
+        first = False
+    return level.select(*by, F.col("h").alias("digest"))
 
 
 def reconcile(desired: DataFrame, current: DataFrame) -> DataFrame:

@@ -82,6 +82,50 @@ def debounce(events: DataFrame, key: str, gap: str) -> DataFrame:
     return s.select(key, F.unix_micros("w.start").alias("started"), F.unix_micros("w.end").alias("fired"), "n")
 
 
+def breaker_states(events: DataFrame, key: str, failed: Column, threshold: int, open_seconds: float) -> DataFrame:
+    """The events with state: what a breaker would have let each of them meet, 'closed', 'open' or 'half_open'.
+
+    It opens at the threshold-th failure in a row. For open_seconds after it every call is refused ('open', and doesn't count);
+    the first one later is a trial ('half_open') that closes it or opens it for as long again. ts is in seconds. The state
+    depends on all events before, so a key's events are taken in order, batch by batch, and only three numbers are held of them.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run_, until, state = 0, None, "closed"
+        for pdf in parts:
+            states = []
+            for ts, bad in zip(pdf.ts, pdf["_failed"], strict=True):
+                if state == "open" and ts < until:
+                    states.append("open")
+                    continue
+                met = "half_open" if state == "open" else "closed"
+                states.append(met)
+                run_ = run_ + 1 if bad else 0
+                state = "open" if bad and (met == "half_open" or run_ >= threshold) else "closed"
+                until = ts + open_seconds if state == "open" else None
+            yield pdf.drop(columns="_failed").assign(state=states)
+
+    # Sorted by key and time within the partitions of the keys: applyInPandas() over batches keeps that order.
+    rows = events.withColumn("_failed", F.coalesce(failed, F.lit(False)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", state string"
+
+    def by_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import itertools
+
+        def pieces() -> Iterator[tuple[object, pd.DataFrame]]:
+            for pdf in batches:
+                for k, part in pdf.groupby(key, sort=False, dropna=False):
+                    yield k, part
+
+        for k, some in itertools.groupby(pieces(), key=lambda p: "null" if pd.isna(p[0]) else p[0]):
+            yield from run((k,), (p for _, p in some))
+
+    return rows.repartition(key).sortWithinPartitions(key, "ts", "event_id").mapInPandas(by_key, schema)
+
+
 def breaker(events: DataFrame, key: str, failed: Column, threshold: int) -> DataFrame:
     """key, opened: when a run of consecutive failures reached the threshold, i.e. when a breaker would have opened."""
     w = W.partitionBy(key).orderBy("ts", "event_id")

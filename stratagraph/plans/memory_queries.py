@@ -195,7 +195,7 @@ def q_ir_metrics(spark: SparkSession, d: str) -> DataFrame:
 def _chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     """The current row of each chunk."""
     c = table(spark, d, "chunks")
-    cols = ["project", "file_path", "kind", "sym_name", "lang", "text"]
+    cols = ["project", "file_path", "kind", "sym_name", "lang", "start_line", "end_line", "text"]
     return c.where("chunk_id is not null").groupBy("chunk_id").agg(F.max_by(F.struct(*cols), F.struct("indexed_at", "text")).alias("r")).select("chunk_id", "r.*")
 
 
@@ -286,6 +286,19 @@ def q_breaker(spark: SparkSession, d: str) -> DataFrame:
     return metrics.breaker(_events(spark, d), "user_id", F.col("event_type") == "error", 2)
 
 
+def q_breaker_states(spark: SparkSession, d: str) -> DataFrame:
+    """What a breaker would have let each event meet: it opens at the second error in a row, for six hours."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return metrics.breaker_states(e.withColumn("ts", F.col("us") / 1e6), "user_id", F.col("event_type") == "error", 2, 21_600.0).select("event_id", "state")
+
+
+def q_ingest_status(spark: SparkSession, d: str) -> DataFrame:
+    """How far each project's snapshot before the last lies behind its head, and how many files have changed since."""
+    order = snapshot_order(table(spark, d, "snapshot_manifest"), table(spark, d, "graph_nodes"))
+    last = order.where("next_sha is not null").groupBy("project").agg(F.max_by("head_sha", "idx").alias("sha"))
+    return ingest.pending(order, last, q_delta(spark, d))
+
+
 def q_turn_gate(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("event_type")
     return metrics.turn_gate(_events(spark, d), "user_id", t == "signup", t == "view", t == "click")
@@ -314,7 +327,7 @@ def q_sanity(spark: SparkSession, d: str) -> DataFrame:
 
 def q_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     """Chunks built anew from the current symbols' texts: ids and lengths."""
-    s = _chunk_rows(spark, d).where("kind <> 'file' and text is not null").select(F.col("file_path").alias("path"), F.col("sym_name").alias("name"), "kind", F.lit(1).alias("start"), F.lit(2).alias("end"), F.col("text").alias("snippet"))
+    s = _chunk_rows(spark, d).where("kind <> 'file' and text is not null").select(F.col("file_path").alias("path"), F.col("sym_name").alias("name"), "kind", F.col("start_line").alias("start"), F.col("end_line").alias("end"), F.col("text").alias("snippet"))
     return ingest.symbol_chunks(s).select("chunk_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("h"))
 
 
@@ -554,8 +567,8 @@ SQL = {
         SELECT project, file_path, coalesce(len(t) > 0 AND (NOT contains(t, chr(10)) OR list_max(list_transform(x, lambda y: len(y))) > 2000 OR len(t) / len(x) > 200), false) AS minified FROM l""",
     "q_sanity": _ONCE + """, s AS (SELECT project, NOT contains(' ' || regexp_replace(text, '[^A-Za-z0-9_]+', ' ', 'g') || ' ', ' ' || sym_name || ' ') AS missing FROM c WHERE kind <> 'file' AND regexp_matches(sym_name, '^[A-Za-z_][A-Za-z0-9_]*$') AND text IS NOT NULL)
         SELECT project, count(*) AS n, count(*) FILTER (missing) AS missing, round(count(*) FILTER (missing) / count(*), 6) AS share, round(count(*) FILTER (missing) / count(*), 6) > 0.02 AS suspect FROM s GROUP BY project""",
-    "q_chunk_ids": _ONCE + r""", s AS (SELECT file_path AS path, sym_name AS name, kind, text AS snippet, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:3] AS l FROM c WHERE kind <> 'file' AND text IS NOT NULL),
-        b AS (SELECT substr(sha1(path || chr(0) || name || '#1'), 1, 32) AS chunk_id, concat_ws(chr(10), 'FILE ' || path, 'KIND ' || kind || ' NAME ' || name, CASE WHEN len(l) > 0 THEN 'SIGNATURE' || chr(10) || array_to_string(l, chr(10)) END, substr(snippet, 1, 1500)) AS t FROM s)
+    "q_chunk_ids": _ONCE + r""", s AS (SELECT file_path AS path, sym_name AS name, kind, start_line, text AS snippet, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:3] AS l FROM c WHERE kind <> 'file' AND text IS NOT NULL),
+        b AS (SELECT substr(sha1(path || chr(0) || concat_ws('#', name, start_line)), 1, 32) AS chunk_id, concat_ws(chr(10), 'FILE ' || path, 'KIND ' || kind || ' NAME ' || name, CASE WHEN len(l) > 0 THEN 'SIGNATURE' || chr(10) || array_to_string(l, chr(10)) END, substr(snippet, 1, 1500)) AS t FROM s)
         SELECT chunk_id, CAST(len(t) AS INT) AS n_chars, sha256(t) AS h FROM b""",
     "q_delta": _DELTA + "SELECT project, path, kind FROM d",
     "q_reingest_paths": _DELTA + """, x AS (SELECT project || '/' || path AS path, 0 AS l FROM d WHERE kind = 'changed' UNION ALL SELECT project || '/' || path, 1 FROM v WHERE back = 0 AND gen = 'true')
@@ -568,7 +581,8 @@ SQL = {
     "q_snapshot_gc": "SELECT project, head_sha, t AS created_at, row_number() OVER (PARTITION BY project ORDER BY t DESC, head_sha DESC) <= 2 AS keep FROM (SELECT project, head_sha, min(created_at) AS t FROM snapshot_manifest WHERE created_at IS NOT NULL GROUP BY ALL)",
     "q_ancestor_snapshot": _ORDER + "SELECT m.project, m.head_sha, arg_max(o.head_sha, struct_pack(t := o.t, s := o.head_sha)) AS ancestor FROM m LEFT JOIN o ON m.project = o.project AND o.t <= m.t GROUP BY ALL",
     "q_snapshot_digest": """WITH l AS (SELECT DISTINCT project, head_sha, sha256(label || '|' || node_key) AS h FROM graph_nodes WHERE label IS NOT NULL AND node_key IS NOT NULL),
-        b AS (SELECT project, head_sha, substr(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM l GROUP BY ALL) SELECT project, head_sha, sha256(string_agg(b || h, '' ORDER BY b || h)) AS digest FROM b GROUP BY ALL""",
+        b AS (SELECT project, head_sha, substr(h, 1, 6) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM l GROUP BY ALL), c AS (SELECT project, head_sha, substr(b, 1, 3) AS b, sha256(string_agg(b || h, '' ORDER BY b || h)) AS h FROM b GROUP BY project, head_sha, substr(b, 1, 3))
+        SELECT project, head_sha, sha256(string_agg(b || h, '' ORDER BY b || h)) AS digest FROM c GROUP BY ALL""",
     "q_embed_cache_split": _ONCE + " SELECT chunk_id, sha256(text) AS chunk_hash, EXISTS (SELECT 1 FROM embed_cache e WHERE e.chunk_hash = sha256(c.text) AND model = 'mini-64' AND dense IS NOT NULL) AS hit FROM c WHERE text IS NOT NULL",
     "q_chunk_similarity": "WITH c AS (SELECT DISTINCT chunk_id, indexed_at, CAST(vector AS DOUBLE[]) AS v FROM chunks WHERE len(vector) = 64) SELECT a.chunk_id, round(CASE WHEN list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v) <> 0 THEN list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) END, 5) AS score FROM c a JOIN c b ON a.chunk_id = b.chunk_id AND a.indexed_at < b.indexed_at",
     "q_cache_vacuum": f"SELECT chunk_hash, model, max(ts) AS ts FROM embed_cache WHERE chunk_hash IS NOT NULL AND model IS NOT NULL GROUP BY ALL HAVING max(ts) >= {CUTOFF}",
@@ -614,3 +628,6 @@ SQL["q_metrics_report"] = """WITH r AS (SELECT * FROM (SELECT *, row_number() OV
       (SELECT CAST(count(*) FILTER (hit) AS BIGINT) FROM x) AS cache_hits, (SELECT CAST(count(*) FILTER (NOT hit) AS BIGINT) FROM x) AS cache_misses, (SELECT round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 3) FROM x) AS hit_ratio,
       (SELECT count(*) FROM snapshot_manifest WHERE counts IS NOT NULL) AS ingests, (SELECT CAST(coalesce(sum(CAST(json_extract_string(counts, '$.nodes') AS BIGINT)), 0) AS BIGINT) FROM snapshot_manifest WHERE counts IS NOT NULL) AS symbols,
       (SELECT max(created_at) FROM snapshot_manifest WHERE counts IS NOT NULL) AS last_ingest_ts"""
+SQL["q_ingest_status"] = _DELTA + """, k AS (SELECT project, count(*) FILTER (kind = 'changed') AS changed, count(*) FILTER (kind = 'deleted') AS deleted FROM d GROUP BY project)
+    SELECT p.project, p.head_sha, q.head_sha AS last_sha, CAST(p.n - coalesce(q.idx, 0) AS INT) AS behind, coalesce(changed, 0) AS changed, coalesce(deleted, 0) AS deleted
+    FROM o p LEFT JOIN o q ON q.project = p.project AND q.idx = p.n - 1 LEFT JOIN k ON k.project = p.project WHERE p.idx = p.n"""

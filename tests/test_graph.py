@@ -103,6 +103,12 @@ def test_types_of_assemblies_and_rewriting(spark):
     assert len(empty) == 5 and {r for _, r in empty} == {None}
 
 
+def test_files_are_removed_without_a_trace(small):
+    n, e = graph.remove_files(*small, small[0].sparkSession.createDataFrame([("p", "f"), ("p", "none")], "project string, file string"))
+    assert rows(n.where("label = 'File'"), "key") == [("g",), ("h",)] and n.where("key = 'f::a'").count() == 1
+    assert rows(e, "type", "src_key") == [("CALLS", "g"), ("CALLS", "h"), ("DEFINES", "g"), ("DEFINES", "h"), ("IMPORTS", "g"), ("INJECTS", "h"), ("REFERENCES", "h")]
+
+
 def test_a_hub_name_is_no_product(spark):
     """Thousands of references to a name with thousands of definitions: one row a reference, and no plan that joins both by name."""
     refs = spark.range(3000).selectExpr("'p' as project", "'CALLS' as type", "concat('f', id) as file", "'name::hub' as placeholder", "'hub' as name", "cast(id % 3 as int) as arity", "cast(null as string) as receiver_type")

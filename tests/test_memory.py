@@ -187,3 +187,30 @@ def test_search_within_models(spark, tmp_path):
     assert sparse == [("mini-64", 20, 22, 1), ("wide-64", 20, 21, 2), ("wide-64", 20, 22, 1)]
     for q in (memory_queries.q_hybrid_rrf_models, memory_queries.q_hybrid_dbsf_models):
         assert {r[:3] for r in rows(q(spark, str(tmp_path)), "model", "query", "id")} == {("mini-64", 20, 22), ("mini-64", 20, 23), ("wide-64", 20, 21), ("wide-64", 20, 22)}
+
+
+def test_breaker_states(spark):
+    from stratagraph.operators import metrics
+
+    events = [(i, k, float(t), bad) for i, (k, t, bad) in enumerate([("a", 0, True), ("a", 1, True), ("a", 2, True), ("a", 11, True), ("a", 15, False), ("a", 22, False), ("a", 23, True), ("a", 24, None), ("b", 0, True), (None, 0, True), (None, 1, True), (None, 2, False)])]
+    df = spark.createDataFrame(events, "event_id long, k string, ts double, failed boolean").repartition(3)
+    got = dict(rows(metrics.breaker_states(df, "k", F.col("failed"), 2, 10.0), "event_id", "state"))
+    assert [got[i] for i in range(12)] == ["closed", "closed", "open", "half_open", "open", "half_open", "closed", "closed", "closed", "closed", "closed", "open"]
+    assert metrics.breaker_states(df.limit(0), "k", F.col("failed"), 2, 10.0).count() == 0
+
+
+def test_snapshots_of_two_places_and_what_is_pending(spark):
+    s = "project string, head_sha string, at double"
+    got = ingest.available(spark.createDataFrame([("p", "a", 1.0), ("p", "a", 2.0)], s), spark.createDataFrame([("p", "a", 0.0), ("p", "b", 5.0)], s))
+    assert rows(got) == [("p", "a", 1.0, True), ("p", "b", 5.0, False)]
+    order = spark.createDataFrame([("p", "a", 1), ("p", "b", 2), ("p", "c", 3), ("q", "x", 1)], "project string, head_sha string, idx int")
+    state = spark.createDataFrame([("p", "a"), ("q", "gone")], "project string, sha string")
+    changes = spark.createDataFrame([("p", "f", "changed"), ("p", "g", "deleted"), ("p", "h", "changed")], "project string, path string, kind string")
+    assert rows(ingest.pending(order, state, changes)) == [("p", "c", "a", 2, 2, 1), ("q", "x", "gone", 1, 0, 0)]
+
+
+def test_digest_is_a_tree(spark, monkeypatch):
+    df = spark.createDataFrame([("g", str(i)) for i in range(500)] + [("h", "x")], "g string, line string")
+    one = rows(ingest.digest(df, ["g"], F.col("line")))
+    assert one == rows(ingest.digest(df.repartition(7).orderBy(F.desc("line")), ["g"], F.col("line"))) and len(one) == 2
+    assert rows(ingest.digest(df.where("line <> '7'"), ["g"], F.col("line")))[0] != one[0] and ingest.digest(df.limit(0), ["g"], F.col("line")).count() == 0
