@@ -15,7 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.runtime import bounded_broadcast, cut, spread
@@ -36,9 +37,16 @@ def _tokenizer(path: str):  # noqa: ANN202
     return t
 
 
+def _sent(spark: SparkSession, path: str) -> None:
+    """Sends the vocabulary to the executors, which need not have it where the driver has."""
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
+
+
 def _sizes(path: str):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = _tokenizer(path)
+        sent = SparkFiles.get(os.path.basename(path))
+        t = _tokenizer(sent if os.path.exists(sent) else path)
         for pdf in batches:
             tokens: list[int] = []
             for i in range(0, len(pdf), 256):
@@ -60,6 +68,7 @@ def token_sizes(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
     """
     names = bounded_broadcast(targets.select(spelling(F.col("source")).alias("source")).where("source is not null").distinct())
     rows = spread(documents.select("doc_id", "text", spelling(F.col("source")).alias("source")).where("doc_id is not null and text is not null and text <> ''")).join(names, "source", "left_semi")
+    _sent(documents.sparkSession, tokenizer)
     sized = rows.mapInPandas(_sizes(tokenizer), "doc_id long, source string, tokens long").where("tokens > 0")
     return sized.groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("m")).select("doc_id", "m.source", "m.tokens")
 
