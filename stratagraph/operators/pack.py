@@ -21,7 +21,7 @@ Embed = Callable[[Column], Column]
 
 
 def episode_text(prompt: Column, plan: Column, patch: Column, verdict: Column) -> Column:
-    """The text an episode is embedded by."""
+    """The text an episode is embedded by; its headings are fixed values, as are those of render()."""
     part = lambda head, x: F.when(x != "", F.concat(F.lit(head), x))
     return F.concat_ws("\n\n", F.concat(F.lit("PROMPT:\n"), prompt), part("PLAN:\n", plan), part("PATCH:\n", patch), part("VERDICT: ", verdict))
 
