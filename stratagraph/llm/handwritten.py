@@ -21,11 +21,11 @@ from stratagraph.runtime import cut, spread_join, spread
 MIN_PROJECTS, MIN_CHARS = 2, 120
 #: Two projects that share more than this part of the smaller one's own contents are forks of each other and count as one.
 FORK_SHARE = 0.5
-#: Further holders of a content that a project is compared with, in order of name.
+#: Further holders of a content that a project is compared with at first, in order of name.
 NEIGHBOURS = 8
 #: Share of a file's characters that lie in dense, literal or enumerated lines, from which layout decides.
 LAYOUT_SHARE = 0.6
-#: Holders of a content that are compared in one task.
+#: Holders of a content that are compared at first in one task.
 HOLDERS = 100_000
 
 #: Directories that hold third-party packages by convention (fixed values).
@@ -168,35 +168,78 @@ def merkle_tree(files: DataFrame) -> DataFrame:
     return done
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """project, family of the ends of (project, other), which is given in both directions: the least project that edges lead to."""
+    kin = cut(edges.groupBy("project").agg(F.least("project", F.min("other")).alias("family")))
+    while True:
+        seen = edges.join(kin.select(F.col("project").alias("other"), F.col("family").alias("f")), "other").groupBy("project").agg(F.min("f").alias("f"))
+        new = cut(kin.join(seen, "project").select("project", F.least("family", "f").alias("family"), (F.col("f") < F.col("family")).alias("moved")))
+        kin = new.drop("moved")
+        if not new.where("moved").limit(1).count():
+            return kin
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("other").alias("project"), F.col("project").alias("other")))
+
+
+def far_forks(held: DataFrame, size: DataFrame, kin: DataFrame) -> DataFrame | None:
+    """project, other of all forks between two families of kin, whatever lies between them by name; None if there are none.
+
+    held: project, hash, own of the contents that several projects hold. Only contents of two families can make such a pair, and
+    only a project that has enough of them can be its smaller one. Of its contents it needs more than FORK_SHARE in common, so it
+    shares at least one of the rarest that are left when one less than that is put aside: the holders of these are the
+    candidates, and their common contents are counted.
+    """
+    known = spread_join(spread_join(held, size, ["project"], ["hash"]), kin, ["project"], ["hash"], "left")
+    known = cut(known.select("project", "hash", "own", "owned", "total", F.coalesce("family", "project").alias("family"), (F.col("owned") == 0).alias("bare")))
+    # Where one of two projects has no own contents all count, and all common ones are that project's.
+    of_bare = cut(known.where("bare").select("hash").distinct())
+    sets = known.where("own").select(F.lit("own").alias("of"), "project", "hash", F.col("owned").alias("size"), "family", "bare")
+    sets = sets.unionByName(spread_join(known, of_bare, ["hash"], ["project"], "left_semi").select(F.lit("all").alias("of"), "project", "hash", F.col("total").alias("size"), "family", "bare"))
+    apart = cut(sets.groupBy("of", "hash").agg(F.count("*").alias("holders"), F.min("family").alias("a"), F.max("family").alias("b")).where("a <> b").select("of", "hash", "holders"))
+    sets = cut(spread_join(sets, apart, ["of", "hash"], ["project"]))
+    need = F.floor(F.first("size") * FORK_SHARE) + 1
+    small = cut(sets.groupBy("of", "project").agg(F.count("*").alias("common"), need.alias("need")).where("common >= need"))
+    if not small.limit(1).count():
+        return None
+    mine = cut(spread_join(sets, small, ["of", "project"], ["hash"]))
+    rare = F.row_number().over(W.partitionBy("of", "project").orderBy("holders", "hash"))
+    rarest = cut(mine.withColumn("k", rare).where("k <= common - need + 1").select("of", "hash", "project", "need", F.col("size").alias("s"), F.col("family").alias("f"), F.col("bare").alias("b")))
+    theirs = sets.select("of", "hash", F.col("project").alias("other"), "size", "family", "bare")
+    pairs = spread_join(theirs, rarest, ["of", "hash"], ["other"]).where("family <> f and (of = 'own' or bare or b) and (s < size or (s = size and project < other))")
+    pairs = cut(pairs.select("of", "project", "other", "need").distinct())
+    asked = spread_join(pairs, mine.select("of", "project", "hash"), ["of", "project"], ["other"])
+    others = cut(theirs.select("of", "other", "hash").join(pairs.select("of", "other").distinct(), ["of", "other"], "left_semi"))
+    edges = cut(spread_join(asked, others, ["of", "other", "hash"], ["project"]).groupBy("of", "project", "other", "need").agg(F.count("*").alias("n")).where("n >= need").select("project", "other"))
+    return edges if edges.limit(1).count() else None
+
+
 def families(leaf: DataFrame, copied: DataFrame) -> DataFrame:
     """project, family of the projects with a fork among the others: forks of forks are one family, named by its first project.
 
     Two projects are forks if they share more than FORK_SHARE of the smaller one's own contents, which are those outside
-    third-party directories (of all contents where one has no others). Holders of a content are compared with the next
-    NEIGHBOURS by name only, so pairs grow with the files; a larger family hangs together by its chain. Contents with more
-    than HOLDERS holders are compared in so many parts. copied: hash, projects, of the contents of several projects.
+    third-party directories (of all contents where one has no others). Holders of a content are first compared with the next
+    NEIGHBOURS by name, contents with more than HOLDERS holders in so many parts: what is found so is a fork, and most of a
+    family hangs together by its chain. far_forks() then finds all forks that are left between families, so that neither
+    decides which families there are. copied: hash, projects, of the contents of several projects.
     """
     third = F.col("path").rlike("(^|/)(?:" + "|".join(map(re.escape, VENDOR_DIRS)) + ")/")
     held = cut(leaf.groupBy("project", "hash").agg(F.max(~third).alias("own")))
-    size = held.groupBy("project").agg(F.count_if("own").alias("owned"), F.count("*").alias("total"))
+    size = cut(held.groupBy("project").agg(F.count_if("own").alias("owned"), F.count("*").alias("total")))
     w = W.partitionBy("hash", "share").orderBy("project")
     shares = copied.select("hash", F.ceil(F.col("projects") / HOLDERS).alias("shares"))
-    shared = spread_join(held, shares, ["hash"], ["project"]).withColumn("share", F.pmod(F.xxhash64("project"), F.col("shares")))
+    shared = cut(spread_join(held, shares, ["hash"], ["project"]).withColumn("share", F.pmod(F.xxhash64("project"), F.col("shares"))))
     near = shared.select("project", "own", F.array(*[F.struct(F.lead("project", i).over(w).alias("other"), F.lead("own", i).over(w).alias("too")) for i in range(1, NEIGHBOURS + 1)]).alias("n"))
     near = near.select("project", "own", F.explode("n").alias("n")).where("n.other is not null")
     met = near.groupBy("project", F.col("n.other").alias("other")).agg(F.count_if(F.col("own") & F.col("n.too")).alias("own"), F.count("*").alias("all"))
     both = met.join(size, "project").join(size.select(F.col("project").alias("other"), F.col("owned").alias("owned_o"), F.col("total").alias("total_o")), "other")
     least = F.least("owned", "owned_o")
     forks = F.when(least > 0, F.col("own") > FORK_SHARE * least).otherwise(F.col("all") > FORK_SHARE * F.least("total", "total_o"))
-    edges = both.where(forks).select("project", "other")
-    edges = cut(edges.unionByName(edges.select(F.col("other").alias("project"), F.col("project").alias("other"))))
-    kin = cut(edges.groupBy("project").agg(F.least("project", F.min("other")).alias("family")))
-    while True:
-        seen = edges.join(kin.select(F.col("project").alias("other"), F.col("family").alias("f")), "other").groupBy("project").agg(F.min("f").alias("f"))
-        new = cut(kin.join(seen, "project").select("project", F.least("family", "f").alias("family"), (F.col("f") < F.col("family")).alias("moved")))
-        kin = new.drop("moved")
-        if not new.where("moved").limit(1).count():
-            return kin
+    edges = cut(both_ways(both.where(forks).select("project", "other")))
+    kin = components(edges)
+    far = far_forks(shared.select("project", "hash", "own"), size, kin)
+    return kin if far is None else components(cut(edges.unionByName(both_ways(far))))
 
 
 def shared_files(files: DataFrame, min_projects: int = MIN_PROJECTS) -> DataFrame:
